@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, html_text, language_id, personal_data, token_files
+from . import byte_bpe, exact_dedup, html_text, language_id, near_dedup, personal_data, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_html_text": op2_html_text,
@@ -44,6 +48,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op7_personal_data": op7_personal_data,
     "op9_token_files": op9_token_files,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL = {
