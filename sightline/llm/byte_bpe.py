@@ -30,7 +30,14 @@ class PrefixEncoder:
         self.ranks = ranks
         self.token_bytes: dict[int, bytes] = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
+        self.starts: dict = {}  # a tree of the tokens' bytes; a token that ends at a node is its entry -1
+        for data, token in ranks.items():
+            node = self.starts
+            for byte in data:
+                node = node.setdefault(byte, {})
+            node[-1] = token
 
     def merged(self, data: bytes) -> list[int]:
         """Lowest-rank-first merging; only used on the bytes of two tokens."""
@@ -42,31 +49,63 @@ class PrefixEncoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes a token; None for a single byte."""
+        known = self._halves.get(token, 0)
+        if known == 0:
+            data = self.token_bytes[token]
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while len(parts) > 2:
+                _, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            known = self._halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return known
+
     def may_follow(self, last: int, token: int) -> bool:
-        known = self._follows.get((last, token))
+        """Whether no merge joins the two tokens: undoes their merges beside the border from the latest to the
+        earliest, and looks for a merge across the border that would have come first."""
+        pair = last << 32 | token
+        known = self._follows.get(pair)
         if known is None:
             if len(self._follows) > CACHE_ENTRIES:
                 self._follows.clear()
-            known = self.merged(self.token_bytes[last] + self.token_bytes[token]) == [last, token]
-            self._follows[last, token] = known
+            known = self._follows[pair] = self._apart(last, token)
         return known
 
-    def _grow(self, data: bytes, lasts: list[int]) -> None:
-        """Add the last token of the next prefix."""
-        end, get = len(lasts) + 1, self.ranks.get
-        for start in range(max(0, end - self.longest), end):
-            token = get(data[start:end])
-            if token is not None and (start == 0 or self.may_follow(lasts[start - 1], token)):
-                lasts.append(token)
-                return
-        raise ValueError("the vocabulary lacks a single byte")
+    def _apart(self, left: int, right: int) -> bool:
+        before = 1 << 60  # a merge across the border comes first if its rank is below this
+        get, data = self.ranks.get, self.token_bytes
+        while True:
+            joined = get(data[left] + data[right])
+            if joined is not None and joined < before:
+                return False
+            sides = [s for s in (left, right) if len(data[s]) > 1]
+            if not sides:
+                return True
+            if left in sides and (right not in sides or left > right):
+                before, left = left, self.halves(left)[1]  # type: ignore[index]  # equal ranks: the left one is first
+            else:
+                before, right = right + 1, self.halves(right)[0]  # type: ignore[index]
 
     def extend(self, data: bytes, lasts: list[int]) -> list[int]:
         """The last token of every prefix of data, given those of the first len(lasts) prefixes."""
-        lasts = list(lasts)
-        while len(lasts) < len(data):
-            self._grow(data, lasts)
-        return lasts
+        done, size = len(lasts), len(data)
+        found: list = [*lasts, *[None] * (size - done)]
+        follows = self._follows
+        for start in range(max(0, done - self.longest + 1), size):
+            last, node = found[start - 1], self.starts
+            for end in range(start, size):
+                node = node.get(data[end])
+                if node is None:
+                    break
+                token = node.get(-1)
+                if token is not None and found[end] is None:
+                    apart = not start or follows.get(last << 32 | token)
+                    if self.may_follow(last, token) if apart is None else apart:
+                        found[end] = token
+            if found[start] is None:
+                raise ValueError("the vocabulary lacks a single byte")
+        return found
 
     def walk(self, lasts: list[int]) -> list[int]:
         out, end = [], len(lasts)
@@ -87,12 +126,11 @@ class PrefixEncoder:
         """Replace data[start:stop]. Entries before start stay; entries after the edit are taken over as soon as a
         whole token length of them agrees with the stored ones, since each entry only depends on those before it."""
         out = data[:start] + new + data[stop:]
-        made, shift, agree = list(lasts[:start]), len(new) - (stop - start), 0
+        made, shift, same = list(lasts[:start]), len(new) - (stop - start), start + len(new)
         while len(made) < len(out):
-            self._grow(out, made)
+            made = self.extend(out[: len(made) + self.longest], made)
             old = len(made) - shift
-            agree = agree + 1 if stop < old <= len(lasts) and lasts[old - 1] == made[-1] else 0
-            if agree >= self.longest:
+            if len(made) - self.longest >= same and made[-self.longest :] == lasts[old - self.longest : old]:
                 made += lasts[old:]
         return out, made
 
@@ -118,41 +156,50 @@ class TextEncoder:
         self.encoder = PrefixEncoder(ranks)
         self.find = regex.compile(pattern).findall
         self.cut_at_blanks = cut_at_blanks
-        self.pieces: dict[str, list[int]] = {}
-        self.stretches: dict[str, list[int]] = {}
+        # Each cache has an older generation, to which it moves when it is full: what is in use comes back from there.
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older_pieces: dict[str, tuple[int, ...]] = {}
+        self.stretches: dict[str, tuple[int, ...]] = {}
+        self.older_stretches: dict[str, tuple[int, ...]] = {}
 
-    def plain(self, text: str) -> list[int]:
+    def plain(self, text: str) -> tuple[int, ...]:
         out: list[int] = []
         for piece in self.find(text):
             ids = self.pieces.get(piece)
             if ids is None:
-                if len(self.pieces) > CACHE_ENTRIES:
-                    self.pieces.clear()
-                ids = self.encoder.encode(piece.encode("utf-8", "surrogatepass"))
+                ids = self.older_pieces.get(piece)
+                if ids is None:
+                    ids = tuple(self.encoder.encode(piece.encode("utf-8", "surrogatepass")))
                 if len(piece) < 64:
+                    if len(self.pieces) >= CACHE_ENTRIES:
+                        self.older_pieces, self.pieces = self.pieces, {}
                     self.pieces[piece] = ids
             out += ids
-        return out
+        return tuple(out)
 
     def encode(self, text: str) -> list[int]:
         if not self.cut_at_blanks:
-            return self.plain(text)
+            return list(self.plain(text))
         first, *rest = text.split(" ")
         if rest and (not first or first[-1].isspace()):
-            return self.plain(text)
-        if len(self.stretches) > CACHE_ENTRIES:
-            self.stretches.clear()
+            return list(self.plain(text))
+        if len(self.stretches) >= CACHE_ENTRIES:
+            self.older_stretches, self.stretches = self.stretches, {}
         known = self.stretches
         try:
             parts = list(map(known.__getitem__, rest))
         except KeyError:
+            older = self.older_stretches
             for part in rest:
                 if part not in known:
-                    if not part or part[0].isspace() or part[-1].isspace():
-                        return self.plain(text)
-                    known[part] = self.plain(" " + part)
+                    ids = older.get(part)
+                    if ids is None:
+                        if not part or part[0].isspace() or part[-1].isspace():
+                            return list(self.plain(text))
+                        ids = self.plain(" " + part)
+                    known[part] = ids
             parts = list(map(known.__getitem__, rest))
-        return self.plain(first) + list(chain.from_iterable(parts))
+        return [*self.plain(first), *chain.from_iterable(parts)]
 
 
 #: The pattern for which cutting at single blanks is exact.
