@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, html_text, language_id, near_dedup, personal_data, token_files
+from . import byte_bpe, exact_dedup, html_text, language_id, near_dedup, order_minhash, personal_data, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir), keep="largest").withColumnRenamed("digest", "text_sha256")
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_with_next(_documents(spark, sf_dir))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find(_documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_html_text": op2_html_text,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_order_minhash": op6_order_minhash,
     "op7_personal_data": op7_personal_data,
     "op9_token_files": op9_token_files,
     "op10_near_dedup": op10_near_dedup,
