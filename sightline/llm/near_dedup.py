@@ -63,18 +63,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def shingles(text: str, words: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text: A-Z lower-cased, words parted by blanks and tabs
-    to carriage returns; with fewer words than a shingle the whole sequence is one, and without words there is none."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words of UTF-8 bytes (A-Z as a-z), by differences of power sums."""
     edge = np.diff(np.concatenate(([1], _BLANK[raw].view(np.int8), [1])))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
-        return np.zeros(0, _u)
     power, inverse = _powers(1 << max(16, len(raw).bit_length()))
     sums = np.zeros(len(raw) + 1, _u)
     np.cumsum(_LOWER[raw] * power[: len(raw)], out=sums[1:])
-    word = _mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(_u))
+    return start, end, _mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(_u))
+
+
+def shingles(text: str, words: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text: A-Z lower-cased, words parted by blanks and tabs
+    to carriage returns; with fewer words than a shingle the whole sequence is one, and without words there is none."""
+    _, _, word = word_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
+    if not len(word):
+        return np.zeros(0, _u)
     size = min(words, len(word))
     out = np.full(len(word) - size + 1, size, _u)
     for j in range(size):

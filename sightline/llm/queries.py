@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, html_text, language_id, near_dedup, order_minhash, personal_data, token_files
+from . import byte_bpe, exact_dedup, html_text, language_id, line_dedup, mixing, near_dedup, order_minhash, personal_data, shared, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir), keep="largest").withColumnRenamed("digest", "text_sha256")
 
 
+#: Every document at least once, small sources up to twice.
+MIX = mixing.Target(repetition=2.0)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    counted = docs.select("doc_id", "source", mixing.word_count(shared.text_of()).alias("n_tokens"))
+    return mixing.realise(counted, mixing.plan(docs, MIX), MIX)
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_with_next(_documents(spark, sf_dir))
 
@@ -37,6 +47,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find(_documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decide(_documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,8 +64,10 @@ QUERIES = {
     "op2_html_text": op2_html_text,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_mixing": op5_mixing,
     "op6_order_minhash": op6_order_minhash,
     "op7_personal_data": op7_personal_data,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_near_dedup": op10_near_dedup,
 }
@@ -62,4 +78,25 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    # The exponent in closed form: the smallest source is passed over twice when the largest is passed over once.
+    "op5_mixing": """
+        WITH d AS (
+            SELECT doc_id, source, coalesce(source, '') AS s, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS doc_key,
+                   len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+'))::BIGINT AS n_tokens
+            FROM documents),
+        sizes AS (SELECT s, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY s),
+        most AS (SELECT max(tokens) AS m, min(tokens) FILTER (tokens > 0) AS l FROM sizes),
+        a AS (SELECT m, CASE WHEN l = m THEN 0 ELSE greatest(0, 1 + ln(2.0) / ln(l / m)) END AS alpha FROM most),
+        q AS (SELECT s, tokens, greatest(1, ceil(tokens / 65536.0))::BIGINT AS n_blocks,
+                     round(CASE WHEN tokens > 0 THEN m * pow(tokens / m, alpha) ELSE 0 END)::BIGINT AS quota FROM sizes, a),
+        f AS (SELECT *, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS full_epochs FROM q),
+        r AS (
+            SELECT d.*, ('0x' || substr(doc_key, 1, 8))::BIGINT % n_blocks AS block, epoch, full_epochs,
+                   quota - full_epochs * tokens AS rest
+            FROM d JOIN f USING (s), generate_series(0, 1000) AS g(epoch) WHERE epoch <= full_epochs),
+        k AS (SELECT *, md5('mix:' || epoch || ':' || s || ':' || block) AS block_key FROM r),
+        w AS (SELECT *, sum(n_tokens) OVER (PARTITION BY s, epoch ORDER BY block_key, doc_key) - n_tokens AS before FROM k)
+        SELECT doc_id, source, n_tokens, epoch::INTEGER AS epoch, block, block_key, doc_key
+        FROM w WHERE epoch < full_epochs OR before < rest
+    """,
 }

@@ -13,10 +13,12 @@ ranks.bin beside the files holds the id of each rank (u32). All numbers are litt
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import drop_table, map_columns, new_folder, text_of, write_table
 
 MAGIC = b"SLTOK001"
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 #: Lengths of the four ids of each control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
 
@@ -78,31 +80,98 @@ def _put(folder: str, name: str, parts: list[bytes]) -> None:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer; the pattern of its words and which of its ids end a word, if it is of the kind that lower-cases
+    NFC text, keeps the matches of one pattern and marks the end of each with a suffix (else None)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as source:
+        made = json.load(source)
+    norm, pre = made["normalizer"] or {}, made["pre_tokenizer"] or {}
+    suffix = made["model"].get("end_of_word_suffix")
+    split = (pre.get("pretokenizers") or [{}])[0]
+    plain = [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert")
+    if not (plain and suffix):
+        return tokenizer, None, None
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for token, i in made["model"]["vocab"].items() if token.endswith(suffix)]] = True
+    return tokenizer, regex.compile(split["pattern"]["Regex"]).findall, ends
 
 
 class WordEncoder:
-    """Ids of whole texts as bytes. The tokenizer drops white space and lets nothing reach across it, so texts are cut
-    at blanks and line ends, and each distinct word is encoded once by the library."""
+    """Ids of whole texts as bytes (u32). The tokenizer drops white space and lets nothing reach across it, so texts
+    are cut at blanks and line ends and each distinct word is encoded once. Plain words are further cut into matches
+    of the tokenizer's own pattern, of which there are fewer, and the library encodes many of them in one call."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {"": b""}
-
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        if len(self.known) > CACHE_ENTRIES:
-            self.known = {"": b""}
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            new = list({w for w in words if w not in known})
-            for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, words))
+        self.tokenizer, self.find, self.ends = _tokenizer(path)
+        # Each cache has an older generation, to which it moves when it is full.
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.matches: dict[str, bytes] = {}
+        self.older_matches: dict[str, bytes] = {}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(got.ids, "<u4").tobytes() for got in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _learn_matches(self, new: list[str]) -> None:
+        if len(self.matches) >= CACHE_ENTRIES:
+            self.older_matches, self.matches = self.matches, {}
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) == len(new) and stop[-1] == len(ids):
+            raw, at = ids.tobytes(), 0
+            for match, to in zip(new, (stop * 4).tolist(), strict=True):
+                self.matches[match], at = raw[at:to], to
+        else:
+            self.matches.update(zip(new, self._whole(new), strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.known) >= CACHE_ENTRIES:
+            self.older, self.known = self.known, {"": b""}
+        known, whole, cut = self.known, [], []
+        for word in dict.fromkeys(words):
+            if word not in known:
+                got = self.older.get(word)
+                if got is not None:
+                    known[word] = got
+                # below this letter nothing composes, and lower-casing is letter by letter
+                elif self.find and max(word) < "\u0180" and "<|" not in word:
+                    cut.append((word, self.find(word.lower())))
+                else:
+                    whole.append(word)
+        if whole:
+            known.update(zip(whole, self._whole(whole), strict=True))
+        if cut:
+            matches = self.matches
+            new = {m for _, found in cut for m in found if m not in matches}
+            for m in [m for m in new if m in self.older_matches]:
+                matches[m] = self.older_matches[m]
+                new.discard(m)
+            if new:
+                self._learn_matches(list(new))
+                if self.matches is not matches:  # a new generation has begun
+                    for m in (m for _, found in cut for m in found if m not in self.matches):
+                        self.matches[m] = matches[m]
+                    matches = self.matches
+            for word, found in cut:
+                known[word] = b"".join([matches[m] for m in found])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        out = []
+        for words in split:
+            known = self.known
+            try:
+                out.append(b"".join(map(known.__getitem__, words)))
+            except KeyError:
+                self._learn(list(chain.from_iterable(split[len(out) : len(out) + 32])))
+                if any(w not in self.known for w in words):
+                    self._learn(words)
+                out.append(b"".join(map(self.known.__getitem__, words)))
+        return out
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -110,7 +179,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def make():
         encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
-        return lambda batch: {"doc_id": batch["doc_id"], "ids": [encoder.encode(t) + end for t in batch["text"]]}
+        return lambda batch: {"doc_id": batch["doc_id"], "ids": [ids + end for ids in encoder.encode(batch["text"])]}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return map_columns(rows, make, "doc_id long, ids binary")
