@@ -100,3 +100,23 @@ def _by_text(texts: DataFrame, clashes: DataFrame, pick: Callable, digest: Calla
     rows = write_table(rows.select(F.struct("doc_id", "row").alias("id"), "digest", "text"), "clashing")
     groups = rows.groupBy("digest", "text").agg(pick("id").alias("kept_row"), F.count(F.lit(1)).alias("n"))
     return rows.join(groups, ["digest", "text"]).select("digest", "id", "kept_row", "n")
+
+
+#: Dropped rows up to this number (under 50 MB) are broadcast to filter the documents; more are joined by shuffle.
+BROADCAST_DROPPED = 500_000
+
+
+def drop_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
+    """The documents without those whose text another row with a smaller (or larger) doc_id has; all columns stay.
+    Of whole repeated rows one stays. Nulls as in exact_groups."""
+    groups = exact_groups(docs, keep).groupBy("doc_id", "digest").agg(F.bool_or("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    marks = write_table(groups.where("not stays or n > 1").select(F.col("doc_id").alias("_doc_id"), F.col("digest").alias("_digest"), "stays"), "copies")
+    size = marks.count()
+    if not size:
+        return docs
+    marks = F.broadcast(marks) if size <= BROADCAST_DROPPED else marks
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_own") == F.col("_digest"))
+    marked = docs.withColumn("_own", sha256_of(text_of())).join(marks, same, "left")
+    single = marked.where("_digest is null")
+    again = marked.where("stays").dropDuplicates(["_doc_id", "_digest"])
+    return single.unionByName(again).select(*docs.columns)

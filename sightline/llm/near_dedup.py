@@ -328,3 +328,10 @@ def _with_blocks(small: DataFrame, dense: DataFrame) -> DataFrame:
     pairs = dense.select("node", "doc_id", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
     blocks = pairs.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "doc_id")
     return small.select(F.col("node").alias("grp"), "doc_id").unionByName(blocks)
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """The documents that near_groups keeps, one of each group of linked ones; all columns stay."""
+    gone = write_table(near_groups(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone.select(F.col("doc_id").alias("_gone")), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
