@@ -1,18 +1,51 @@
-"""The corpus pipeline: stages from documents to token digests, each written and read again before the next."""
+"""The corpus pipeline, from documents to token digests.
+
+Each stage takes all documents that the one before kept; every stage but the last returns the columns of documents.
+Between stages the documents are written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import byte_bpe, exact_dedup, shared
+from sightline.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup, queries, shared
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter, and those whose best language stands out less than by chance."""
+    return language_id.keep_identified(docs)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id stays."""
+    return exact_dedup.drop_copies(docs, keep="largest")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the one with the smallest doc_id stays."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Hands out every document at least once and documents of small sources again, as a row for each time."""
+    return mixing.mix(docs, queries.MIX).select(*docs.columns)
+
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row handed out, as counts and digests."""
+    return byte_bpe.digest_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
 
+STAGES = [
+    ("language id", identify_language),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("byte bpe", encode),
+]
 
-STAGES: list = []
+#: SQL expresses neither the language model nor the tokenizer.
 ORACLE_SQL = None
 
 
@@ -21,4 +54,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = shared.write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)
