@@ -26,9 +26,11 @@ class MergeIndex:
             raise ValueError("keep is smallest or largest")
         self.spark, self.pick = spark, F.min if keep == "smallest" else F.max
         self.runs: list[str] = []
+        self.schema = None
 
     def _write(self, entries: DataFrame, *first: str) -> None:
         path = new_folder(self.spark, "digest-run")
+        self.schema = entries.select("digest", "id", "n").schema
         writer = entries.repartitionByRange(*first, "digest").sortWithinPartitions(*first, "digest").write
         writer = writer.partitionBy(*first) if first else writer
         writer.option("compression", "zstd").option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
@@ -41,7 +43,7 @@ class MergeIndex:
         self._write(entries, "memtable")
 
     def entries(self) -> DataFrame:
-        read = [self.spark.read.parquet(p).select("digest", "id", "n") for p in self.runs]
+        read = [self.spark.read.schema(self.schema).parquet(p) for p in self.runs]
         out = read[0]
         for more in read[1:]:
             out = out.unionByName(more)

@@ -8,16 +8,15 @@ agree in a place of the fingerprint if they share these k-mers in the same order
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_columns, text_of
+from .shared import map_columns, quantiles, range_of, text_of
 
 #: Code points of a k-mer, places of a fingerprint, k-mers hashed into a place.
 KMER, SKETCHES, TUPLE = 5, 32, 2
@@ -105,18 +104,6 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_columns(docs.select(kept), make, f"{fields}, fingerprint string")
 
 
-def _range_of(bounds: list[int]) -> Column:
-    """The number of bounds (sorted falling) above doc_id, by two short searches."""
-    width = max(1, math.isqrt(len(bounds)))
-    blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    if not blocks:
-        return F.lit(0)
-    above = lambda array: F.size(F.filter(array, lambda b: b > F.col("doc_id")))
-    whole = above(F.array(*[F.lit(b[-1]) for b in blocks]))  # blocks that lie above doc_id as a whole
-    inside = F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), whole)
-    return whole * width + F.coalesce(above(inside), F.lit(0))
-
-
 def in_order(docs: DataFrame) -> DataFrame:
     """Rows (range, tail, doc_id, text) for walking through documents by falling doc_id without one global order.
 
@@ -126,9 +113,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     ranges = min(MAX_RANGES, RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    steps = [F.lit(i / ranges) for i in range(1, ranges)]
-    found = docs.select(F.percentile_approx("doc_id", F.array(*steps), 10 * ranges)).first()[0] if steps else []
-    marked = docs.where("doc_id is not null").withColumn("range", _range_of(sorted(set(found or []), reverse=True)))
+    marked = docs.where("doc_id is not null").withColumn("range", range_of(quantiles(docs, ranges)))
     tops = {r["range"]: r["top"] for r in marked.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}
     there = sorted(tops)
     before = [(tops[here], there[i - 1]) for i, here in enumerate(there)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -78,3 +79,22 @@ def _arrow_schema(fields) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(fields)
+
+
+def quantiles(docs: DataFrame, ranges: int) -> list[int]:
+    """Bounds that cut the doc_ids of a table into at most so many ranges of like size, falling."""
+    steps = [F.lit(i / ranges) for i in range(1, ranges)]
+    found = docs.select(F.percentile_approx("doc_id", F.array(*steps), 10 * ranges)).first()[0] if steps else []
+    return sorted(set(found or []), reverse=True)
+
+
+def range_of(bounds: list[int]) -> Column:
+    """The number of bounds (falling) above doc_id, by two short searches: larger doc_ids are in smaller ranges."""
+    width = max(1, math.isqrt(len(bounds)))
+    blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    if not blocks:
+        return F.lit(0)
+    above = lambda array: F.size(F.filter(array, lambda b: b > F.col("doc_id")))
+    whole = above(F.array(*[F.lit(b[-1]) for b in blocks]))  # blocks that lie above doc_id as a whole
+    inside = F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), whole)
+    return whole * width + F.coalesce(above(inside), F.lit(0))
