@@ -39,7 +39,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], bool]:
     the page marks its article as such, in which case only that part is given."""
     lines: list[tuple[str, int]] = []
     held: list[str] = []
-    linked = 0  # characters of links in held
+    linked = 0  # characters of links in held, without white space
     mask: list[str] = []  # open elements since a region outside the article began
     links, at = 0, 0
     has_article = False
@@ -50,7 +50,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], bool]:
         text = " ".join("".join(held).split())
         held.clear()
         if text and not mask:
-            lines.append((text, max(0, len(text) - linked) if linked * 2 >= len(text) else len(text)))
+            solid = len(text.replace(" ", ""))
+            lines.append((text, max(0, solid - linked) if linked * 2 >= solid else len(text)))
         linked = 0
 
     def gap() -> None:
@@ -61,7 +62,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], bool]:
         if text and not mask:
             text = html.unescape(text)
             held.append(text)
-            linked += len(text.strip()) if links else 0
+            linked += len("".join(text.split())) if links else 0
 
     size = len(page)
     while at < size:
@@ -156,6 +157,8 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
         begin = at  # a surge: the text reaches back over lines with text before it
         while begin and lines[begin - 1][0] and sums[begin - 1]:
             begin -= 1
+        while not marked and not weight[begin]:  # a window may open on lines of links
+            begin += 1
         stop = at
         while stop < len(lines) and sums[stop]:
             stop += 1

@@ -56,7 +56,7 @@ class Model:
 
 
 def _logs(counts: dict[str, list[float]], n: int) -> tuple[dict[str, int], np.ndarray]:
-    table = np.array(list(counts.values()), float).reshape(-1, n) + 0.1
+    table = np.array(list(counts.values()), float).reshape(len(counts), n) + 0.1
     return {k: i for i, k in enumerate(counts)}, np.log(table / table.sum(axis=0, keepdims=True))
 
 

@@ -35,7 +35,7 @@ def test_odd_documents(odd_documents, no_documents, spark):
 def test_unseen_words_fall_back_to_shorter_grams():
     grams = [{} for _ in range(5)]
     grams[1] = {"qu": [9.0, 1.0]}
-    grams[0] = {"q": [1.0, 9.0], "z": [1.0, 5.0]}
+    grams[0] = {"q": [1.0, 9.0], "z": [1.0, 5.0], "x": [30.0, 1.0]}  # frequencies count within each language
     model = language_id.Model(["a", "b"], language_id.np.zeros(2), {"word": [5.0, 1.0]}, grams)
     scorer = language_id.Scorer(model)
     assert scorer("word")[0] == "a"
