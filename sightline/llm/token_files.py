@@ -209,11 +209,17 @@ class TextEncoder:
         return ids, n
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> TextEncoder:
+    """One for all tasks of a worker process, so that what it remembers serves them all."""
+    return TextEncoder(path)
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id and ids (binary, of id_type) of every document, end_id last. Null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, TOKENIZE_ROWS):
                 part = batch.slice(at, TOKENIZE_ROWS)
