@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -157,9 +158,9 @@ class TextEncoder:
     def _learn_words(self, found: list[list[str]]) -> dict[str, bytes]:
         self._make_room(self.words)
         known, older = self.words
-        missing = {w for words in found for w in words if w not in known}
-        known.update((w, older[w]) for w in missing if w in older)
-        new = [w for w in missing if w not in older]
+        missing = set(chain.from_iterable(found)).difference(known)
+        new = list(missing.difference(older)) if older else list(missing)
+        known.update((w, older[w]) for w in missing.difference(new))
         if new:
             ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, self.type)
             stop = np.flatnonzero(self.ends[ids]) + 1
@@ -176,12 +177,14 @@ class TextEncoder:
         known, older = self.stretches
         got = list(map(known.get, stretches))
         missing = [s for s, g in zip(stretches, got, strict=True) if g is None]
-        new = [s for s in missing if s not in older]
+        if not missing:
+            return got
         known.update((s, older[s]) for s in missing if s in older)
+        new = [s for s in missing if s not in known]
         found = list(map(LATIN_WORDS.findall, new))
-        words = self._learn_words(found)
-        known.update((s, words[f[0]] if len(f) == 1 else b"".join([words[w] for w in f])) for s, f in zip(new, found, strict=True))
-        return [known[s] if g is None else g for s, g in zip(stretches, got, strict=True)]
+        word = self._learn_words(found).__getitem__
+        known.update(zip(new, [word(f[0]) if len(f) == 1 else b"".join(map(word, f)) for f in found], strict=True))
+        return list(map(known.__getitem__, stretches))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of each text's."""
@@ -192,12 +195,12 @@ class TextEncoder:
         if plain.any():
             own = pc.split_pattern(pc.utf8_lower(pc.replace_substring(texts.filter(pa.array(plain)), "\n", " ")), " ")
             coded = own.flatten().dictionary_encode()
-            value = self._lookup(coded.dictionary.to_pylist())
-            flat, size = np.frombuffer(b"".join(value), self.type), np.array(list(map(len, value)), np.int64) // self.type.itemsize
+            value = self._lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+            flat, size = np.frombuffer(b"".join(value), self.type), np.fromiter(map(len, value), np.int32, len(value)) // self.type.itemsize
             index = coded.indices.to_numpy()
             each = size[index]
-            first = np.concatenate(([0], np.cumsum(each)))
-            ids = flat[np.arange(first[-1]) + np.repeat((np.cumsum(size) - size)[index] - first[:-1], each)]
+            first = np.concatenate((np.zeros(1, np.int32), np.cumsum(each, dtype=np.int32)))
+            ids = flat.take(np.arange(first[-1], dtype=np.int32) + np.repeat((np.cumsum(size, dtype=np.int32) - size)[index] - first[:-1], each))
             stop = first[np.cumsum(pc.list_value_length(own).to_numpy())]
             n[plain] = np.diff(stop, prepend=0)
         if parts:
