@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import decisions, findings, graphs, joins, rules  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "rule_scan_by_language"
