@@ -21,6 +21,8 @@ from .shared import map_columns, text_of
 
 #: Entries kept by a task's cache of encoded pieces; it starts anew beyond that, so memory stays bounded.
 CACHE_ENTRIES = 300_000
+#: Pieces kept beside the stretches, most of which are one piece.
+PIECE_ENTRIES = 100_000
 
 
 class PrefixEncoder:
@@ -164,16 +166,19 @@ class TextEncoder:
 
     def plain(self, text: str) -> tuple[int, ...]:
         out: list[int] = []
-        for piece in self.find(text):
+        found = self.find(text)
+        for piece in found:
             ids = self.pieces.get(piece)
             if ids is None:
                 ids = self.older_pieces.get(piece)
                 if ids is None:
                     ids = tuple(self.encoder.encode(piece.encode("utf-8", "surrogatepass")))
                 if len(piece) < 64:
-                    if len(self.pieces) >= CACHE_ENTRIES:
+                    if len(self.pieces) >= PIECE_ENTRIES:
                         self.older_pieces, self.pieces = self.pieces, {}
                     self.pieces[piece] = ids
+            if len(found) == 1:
+                return ids  # the caches then share it
             out += ids
         return tuple(out)
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a task holds as Python objects at once; texts may be long.
 BATCH_ROWS = 256
+#: Rows that Spark hands to Python at once, set for the session: its default, 10,000 whole texts, fills executors.
+ARROW_ROWS = 2_048
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,11 +58,18 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def map_columns(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Run a function over small column batches (dict of lists to dict of lists) inside Spark's tasks.
 
     make() runs once in each task and returns the function, so that models and caches are set up where they are used.
     """
+    small_batches(df.sparkSession)
     fields = df.sparkSession.createDataFrame([], schema).schema
     arrow = _arrow_schema(fields)
 
@@ -71,6 +80,8 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
                 part = batch.slice(at, rows)
                 out = work({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        del work
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, fields)
 

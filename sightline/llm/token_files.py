@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_table, map_columns, new_folder, quantiles, range_of, text_of, write_table
+from .shared import drop_table, map_columns, new_folder, quantiles, range_of, small_batches, text_of, write_table
 
 MAGIC = b"SLTOK001"
 #: Words that a task's encoder remembers in each of two generations.
@@ -232,6 +232,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 made = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([part.column(0), made], ["doc_id", "ids"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary")
 
