@@ -327,7 +327,9 @@ def find(docs: DataFrame) -> DataFrame:
 
     Null texts are empty and have no spans; repeated rows give repeated results; an empty table gives no rows; other
     columns are not read. The random field is trained on the driver from the labelled table (fixed size) and sent to
-    the tasks; every text is decoded whole. A span of the field never replaces or overlaps a base span.
+    the tasks. Every text is searched whole; the field labels the words within REACH of each word that has a digit, an
+    @ or a bracketed "at", wherever in the text it is, and all other words are outside, as no kind lacks these signs.
+    A span of the field never replaces or overlaps a base span.
     """
     field = docs.sparkSession.sparkContext.broadcast(trained())
 
