@@ -60,3 +60,23 @@ def tree(edges: DataFrame, entry: DataFrame, depth_limit: int = 8, node_limit: i
         seen = seen.unionByName(frontier)
         if seen.count() >= node_limit:
             return seen, "node_limit"
+
+
+def walk_up(parents: DataFrame, most: int = 8) -> DataFrame:
+    """vertex, top, steps, gap: from each vertex (vertex, parent) along its parents, at most so many steps. gap says why
+    the walk ended early: cycle, depth_limit or none (null). Vertices must be unique."""
+    parents = written(parents.select("vertex", "parent"))
+    start = parents.select("vertex", F.col("parent").alias("next"), F.col("vertex").alias("top"), F.lit(0).cast("long").alias("steps"))
+    up = parents.select(F.col("vertex").alias("next"), F.col("parent").alias("above"))
+    going, ended = start, []
+    for _ in range(most):
+        ended.append(going.where("next is null or next = vertex").select("vertex", "top", "steps", F.when(F.col("next").isNull(), None).otherwise("cycle").alias("gap")))
+        moved = going.where("next is not null and next <> vertex").join(up, "next", "left")
+        going = written(moved.select("vertex", F.col("above").alias("next"), F.col("next").alias("top"), (F.col("steps") + 1).alias("steps")))
+        if going.isEmpty():
+            break
+    gap = F.when(F.col("next").isNull(), None).when(F.col("next") == F.col("vertex"), "cycle").otherwise("depth_limit")
+    out = going.select("vertex", "top", "steps", gap.alias("gap"))
+    for part in ended:
+        out = out.unionByName(part)
+    return out
