@@ -32,7 +32,7 @@ from .shared import drop_table, map_columns, new_folder, quantiles, range_of, sm
 
 MAGIC = b"SLTOK001"
 #: Words that a task's encoder remembers in each of two generations.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 #: Documents tokenized at once.
 TOKENIZE_ROWS = 2_048
 #: Ranges of doc_id at most; files get larger beyond it.
