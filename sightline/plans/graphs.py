@@ -88,3 +88,25 @@ def first_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three calls of each caller in line order."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     return read(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w)).where("k <= 3").select("l_orderkey", "l_linenumber", "l_partkey", "k")
+
+
+@query()
+def tree_levels_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tree_levels with the tree's own limits, and why growth ended early."""
+    entry = read(spark, sf_dir, "part").agg(F.min("p_partkey").alias("vertex"))
+    nodes, reason = graph.tree(_parts(spark, sf_dir), entry)
+    return nodes.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).withColumn("ended", F.lit(reason).cast("string"))
+
+
+@query()
+def bounded_reach_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bounded_reach to depth 8."""
+    seeds = read(spark, sf_dir, "part").where("p_size = 50 and p_brand = 'Brand#4'").select(F.col("p_partkey").alias("vertex"))
+    return graph.reach(_parts(spark, sf_dir), seeds, 8)
+
+
+@query()
+def first_hops_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight calls of each caller in line order."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    return read(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w)).where("k <= 8").select("l_orderkey", "l_linenumber", "l_partkey", "k")
