@@ -28,7 +28,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _local_chars = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_candidate = re.compile(r"[0-9@]|[\[(]at[\])]")
+_candidate = re.compile(r"[0-9@]|[\[(](?:[aA][tT]|[dD][oO][tT])[\])]")
 _word = re.compile(r"\S+")
 #: Words on each side of a candidate word that belong to its sequence.
 REACH = 3
@@ -41,6 +41,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _is_card(text: str) -> bool:
+    digits = re.sub(r"[ -]", "", text)
+    return re.fullmatch(r"[0-9]{13,19}", digits) is not None and luhn(digits)
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     found, done, at = [], 0, text.find("@")
     while at >= 0:
@@ -311,7 +316,9 @@ class Finder:
                 start += 1
             inside = text[start:end]
             digits = sum(c.isdigit() for c in inside)
-            whole = {0: "@" in inside or "at" in inside, 1: ":" in inside, 2: False, 3: 9 <= digits <= 15, 4: digits >= 6}[kind]
+            whole = {0: "@" in inside or "at" in inside.lower(), 1: ":" in inside, 2: _is_card(inside), 3: 9 <= digits <= 15, 4: digits >= 6}[kind]
+            if kind == 2 and not whole:  # a number before the card may be in its span
+                start, whole = next(((a, True) for a, _ in part[k + 1 : stop] if _is_card(text[a:end])), (start, False))
             if whole and not any(a < end and start < b for a, _, b in base):
                 found.append((start, kind, end))
             k = stop
@@ -328,7 +335,8 @@ def find(docs: DataFrame) -> DataFrame:
     Null texts are empty and have no spans; repeated rows give repeated results; an empty table gives no rows; other
     columns are not read. The random field is trained on the driver from the labelled table (fixed size) and sent to
     the tasks. Every text is searched whole; the field labels the words within REACH of each word that has a digit, an
-    @ or a bracketed "at", wherever in the text it is, and all other words are outside, as no kind lacks these signs.
+    @ or a bracketed "at" or "dot", wherever in the text it is, and all other words
+    are outside (so are addresses spelled out without brackets).
     A span of the field never replaces or overlaps a base span.
     """
     field = docs.sparkSession.sparkContext.broadcast(trained())

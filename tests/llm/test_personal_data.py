@@ -87,3 +87,22 @@ def test_odd_documents(odd_documents, no_documents):
     assert rows[3]["spans"] == rows[4]["spans"] == ""
     assert pd_.find(odd_documents).count() == odd_documents.count()
     assert pd_.find(no_documents).count() == 0
+
+
+def test_long_and_capital_bracketed_addresses():
+    finder = pd_.Finder(pd_.trained())
+    for text, want in (
+        ("write to jane [at] mail [dot] example [dot] org today", "jane [at] mail [dot] example [dot] org"),
+        ("write to john [AT] mail [DOT] com today", "john [AT] mail [DOT] com"),
+    ):
+        base, whole = finder([text])[0]
+        assert base == [] and want in {text[a:b] for a, _, b in whole}, [text[a:b] for a, _, b in whole]
+
+
+def test_labelled_card_after_a_number_is_kept():
+    text = "12 4111 1111 1111 1111 x"
+    part = [m.span() for m in re.finditer(r"\S+", text)]
+    first, more = (pd_.Field.LABELS.index(x) for x in ("B-card", "I-card"))
+    for labels in ([0, first, more, more, more, 0], [first, more, more, more, more, 0]):
+        assert pd_.Finder._spans(text, part, labels, []) == [(3, 2, 22)]
+    assert pd_.Finder._spans("4111 1111 1111 1112", [(0, 4), (5, 9), (10, 14), (15, 19)], [first, more, more, more], []) == []
