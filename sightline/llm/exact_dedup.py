@@ -17,7 +17,7 @@ class MergeIndex:
     """Digest -> identifier of the row that stays, and the number of rows.
 
     flush() turns batches of rows into level-0 runs: one entry per digest, sorted by digest, with min/max statistics
-    and bloom filters in the files' footers, so that a lookup of a digest skips the files that cannot hold it.
+    and bloom filters in the files' footers; the filters are written but nothing here looks a digest up through them.
     compact() merges all runs into one sorted run and keeps the smallest (or largest) identifier of each digest.
     """
 
