@@ -11,13 +11,15 @@ from .shared import delete_folder, drop_table, new_folder, text_of, write_table
 
 #: Hit digests up to this number (under 30 MB) are broadcast for the byte check; more are joined by shuffle.
 BROADCAST_HITS = 200_000
+#: Digests with fewer rows than this are joined by shuffle.
+HOT_ROWS = 500
 
 
 class MergeIndex:
     """Digest -> identifier of the row that stays, and the number of rows.
 
     flush() turns batches of rows into level-0 runs: one entry per digest, sorted by digest, with min/max statistics
-    and bloom filters in the files' footers; the filters are written but nothing here looks a digest up through them.
+    and bloom filters in the files' footers, through which lookup() asks for single digests; whole batches are merged.
     compact() merges all runs into one sorted run and keeps the smallest (or largest) identifier of each digest.
     """
 
@@ -49,6 +51,11 @@ class MergeIndex:
             out = out.unionByName(more)
         return out
 
+    def lookup(self, digests: list[str]) -> DataFrame:
+        """The entries (digest, id, n) of some digests in all runs. The runs are sorted and carry filters: the condition
+        is pushed down to their files, where statistics and bloom filters tell which parts can be skipped."""
+        return self.entries().where(F.col("digest").isin(list(digests)))
+
     def compact(self) -> DataFrame:
         """Merge the runs into one; the old ones are deleted afterwards. Returns digest, id, n."""
         old = list(self.runs)
@@ -88,7 +95,12 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", memtables: int = 4, di
     different = bytes_of_hits.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
     clashes = write_table(different.where("texts > 1").select("digest"), "clashes")
 
-    found = rows.join(merged.withColumnRenamed("id", "kept_row"), "digest")
+    # At most BROADCAST_HITS digests can have that many rows, so these are broadcast and their rows stay where they are.
+    many = max(HOT_ROWS, -(-rows.count() // BROADCAST_HITS))
+    merged = merged.withColumnRenamed("id", "kept_row")
+    hot = F.broadcast(merged.where(F.col("n") >= many))
+    spread = rows.join(hot, "digest")
+    found = rows.join(hot, "digest", "left_anti").join(merged.where(F.col("n") < many), "digest").unionByName(spread)
     if not clashes.isEmpty():
         found = found.join(F.broadcast(clashes) if clashes.count() <= BROADCAST_HITS else clashes, "digest", "left_anti").unionByName(_by_text(texts, clashes, index.pick, digest))
     else:
@@ -112,13 +124,14 @@ def drop_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """The documents without those whose text another row with a smaller (or larger) doc_id has; all columns stay.
     Of whole repeated rows one stays. Nulls as in exact_groups."""
     groups = exact_groups(docs, keep).groupBy("doc_id", "digest").agg(F.bool_or("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
-    marks = write_table(groups.where("not stays or n > 1").select(F.col("doc_id").alias("_doc_id"), F.col("digest").alias("_digest"), "stays"), "copies")
+    marks = write_table(groups.where("not stays or n > 1").select("doc_id", "digest", "stays"), "copies")
     size = marks.count()
     if not size:
         return docs
+    marks = marks.alias("m")
     marks = F.broadcast(marks) if size <= BROADCAST_DROPPED else marks
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_own") == F.col("_digest"))
-    marked = docs.withColumn("_own", sha256_of(text_of())).join(marks, same, "left")
-    single = marked.where("_digest is null")
-    again = marked.where("stays").dropDuplicates(["_doc_id", "_digest"])
-    return single.unionByName(again).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), sha256_of(text_of()).alias("own"))
+    marked = rows.join(marks, F.col("own_id").eqNullSafe(F.col("m.doc_id")) & (F.col("own") == F.col("m.digest")), "left")
+    single = marked.where("digest is null").select("row.*")
+    again = marked.where("stays").groupBy("own_id", "own").agg(F.first("row").alias("row")).select("row.*")
+    return single.unionByName(again)

@@ -1,7 +1,8 @@
 """Language identification by word-first backoff.
 
 A known word scores by its log frequency in each language. An unseen word falls back to its character n-grams: the
-longest length of which any n-gram is known decides, by the mean log frequency of the known ones.
+longest length of which any n-gram is known decides, by the mean log frequency of the known ones. A word counts as
+supported if it is known, or if one of its n-grams with KNOWN_GRAM letters or more is.
 """
 
 from __future__ import annotations
@@ -15,22 +16,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_columns, text_of
+from .shared import drop_table, map_columns, text_of, unused, write_table
 
 UNDETERMINED = "und"
-#: Rows to learn from in each language, at most (chosen by a hash of their doc_id; their whole texts are read).
-SAMPLE_PER_LANGUAGE = 4_000
-#: Words and n-grams that a model holds at most, the most frequent ones: bounds the broadcast model to about 10 MB.
-MAX_WORDS, MAX_GRAMS = 60_000, 60_000
+#: Rows to learn from in each language, at most (chosen by a hash of their doc_id; their whole texts are read). This
+#: bounds the model: it holds every word and n-gram of these rows.
+SAMPLE_PER_LANGUAGE = 1_000
 LONGEST_GRAM = 5
+#: Letters of the shortest n-gram that counts as support for a language.
+KNOWN_GRAM = 3
 CACHE_ROWS = 100_000
 
-_letters = re.compile(r"[^\W\d_]+")
+_word_signs = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> Counter:
     """Lower-case runs of letters, counted."""
-    return Counter(w for w in _letters.findall(text.lower()) if w.isalpha())
+    found = Counter(_word_signs.findall(text.lower()))
+    for run in [w for w in found if not w.isalpha()]:  # signs such as the superscript two pass as parts of words
+        n = found.pop(run)
+        for word in "".join(c if c.isalpha() else " " for c in run).split():
+            found[word] += n
+    return found
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -46,13 +53,15 @@ class Model:
         self.word_row, self.word_score = _logs(words, len(languages))
         self.grams = [_logs(g, len(languages)) for g in grams]  # by length less one
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, word: str) -> tuple[np.ndarray, bool]:
+        """Scores of a word that is not known, and whether its letters support any language."""
         for n in range(LONGEST_GRAM, 0, -1):
             row, score = self.grams[n - 1]
-            known = [row[g] for g in grams_of(word, n) if g in row]
+            known = [g for g in grams_of(word, n) if g in row]
             if known:
-                return score[known].mean(axis=0)
-        return np.zeros(len(self.languages))
+                letters = max(len(g.strip("<>")) for g in known)
+                return score[[row[g] for g in known]].mean(axis=0), letters >= min(KNOWN_GRAM, len(word))
+        return np.zeros(len(self.languages)), False
 
 
 def _logs(counts: dict[str, list[float]], n: int) -> tuple[dict[str, int], np.ndarray]:
@@ -61,40 +70,48 @@ def _logs(counts: dict[str, list[float]], n: int) -> tuple[dict[str, int], np.nd
 
 
 class Scorer:
-    """Scores texts in one task; rows of unseen words are kept in a bounded cache."""
+    """Scores texts in one task; rows of unseen words are kept in a bounded cache. The last column of a row tells
+    whether the word supports a language."""
 
     def __init__(self, model: Model):
         self.model, self.base = model, len(model.word_score)
         self._start()
 
     def _start(self) -> None:
-        self.row, self.used = dict(self.model.word_row), self.base
-        self.table = np.vstack([self.model.word_score, np.zeros((CACHE_ROWS, len(self.model.languages)))])
+        self.row, self.used = {}, self.base
+        width = len(self.model.languages) + 1
+        self.table = np.empty((self.base + CACHE_ROWS, width))
+        self.table[: self.base, :-1], self.table[: self.base, -1] = self.model.word_score, 1
 
-    def __call__(self, text: str) -> tuple[str, float]:
+    def __call__(self, text: str) -> tuple[str, float, float]:
+        """Language, its share of the odds, share of the text's words that support a language."""
         counts = words_of(text)
         if not counts or not self.model.languages:
-            return UNDETERMINED, 0.0
-        total = self.model.prior.copy()
+            return UNDETERMINED, 0.0, 0.0
+        total = np.append(self.model.prior, 0.0)
         at, times = [], []
+        known, seen = self.model.word_row, self.row
         for word, n in counts.items():
-            row = self.row.get(word)
+            row = known.get(word)
             if row is None:
-                score = self.model.unseen(word)
+                row = seen.get(word)
+            if row is None:
+                score, support = self.model.unseen(word)
                 if self.used == len(self.table):  # what was gathered so far refers to the old rows
                     total += np.array(times, float) @ self.table[at] if at else 0
                     at, times = [], []
-                    self._start()
+                    self.used = self.base
+                    seen.clear()
                 row, self.used = self.used, self.used + 1
-                self.table[row] = score
+                self.table[row, :-1], self.table[row, -1] = score, support
                 if len(word) < 64:
-                    self.row[word] = row
+                    seen[word] = row
             at.append(row)
             times.append(n)
         total += np.array(times, float) @ self.table[at]
-        odds = np.exp(total - total.max())
+        odds = np.exp(total[:-1] - total[:-1].max())
         best = int(odds.argmax())
-        return self.model.languages[best], float(odds[best] / odds.sum())
+        return self.model.languages[best], float(odds[best] / odds.sum()), float(total[-1] / counts.total())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -104,7 +121,8 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Learn from rows (doc_id, text, lang) without nulls in text and lang. Larger languages are sampled by a hash of
-    doc_id to about per_language rows; counts are summed by Spark, and only the bounded model reaches the driver."""
+    doc_id to about per_language rows; counts are summed by Spark, and only the words and n-grams of these rows reach the
+    driver."""
     labelled = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
@@ -128,20 +146,21 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
         yield _rows(found)
 
     by_word = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = by_word.groupBy("word").agg(*[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)], F.sum("n").alias("n"))
+    sums = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)]
+    words = write_table(by_word.groupBy("word").agg(*sums), "language-words")  # read twice
     marked = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
     lengths = F.explode(F.array(*map(F.lit, range(1, LONGEST_GRAM + 1))))
     cut = words.select("*", marked.alias("marked"), lengths.alias("k")).where(F.length("marked") >= F.col("k"))
     cut = cut.select("*", F.explode(F.expr("transform(sequence(1, length(marked) - k + 1), i -> substring(marked, i, k))")).alias("gram"))
-    sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(languages))]
-    grams = cut.groupBy("k", "gram").agg(*sums, F.sum("n").alias("n"))
+    grams = cut.groupBy("k", "gram").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(languages))])
 
-    table = lambda rows, key: {r[key]: [float(r[f"n{i}"]) for i in range(len(languages))] for r in rows}
-    top_words = words.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()
-    top_grams = grams.orderBy(F.desc("n"), "k", "gram").limit(MAX_GRAMS).collect()
+    names = [f"n{i}" for i in range(len(languages))]
+    table = lambda part, key: dict(zip(part[key], part[names].to_numpy(float).tolist(), strict=True))
+    all_words, all_grams = words.toPandas().sort_values("word"), grams.toPandas().sort_values(["k", "gram"])
+    drop_table(words)
     total = sum(sizes.values())
     prior = np.log(np.array([sizes[lang] / total for lang in languages]))
-    return Model(languages, prior, table(top_words, "word"), [table([r for r in top_grams if r["k"] == k], "gram") for k in range(1, LONGEST_GRAM + 1)])
+    return Model(languages, prior, table(all_words, "word"), [table(all_grams[all_grams["k"] == k], "gram") for k in range(1, LONGEST_GRAM + 1)])
 
 
 def _rows(found: Counter) -> pa.RecordBatch:
@@ -149,34 +168,39 @@ def _rows(found: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Add lang_pred and score to every row, from its whole text alone; a text that is null or has no letter is `und`
-    with score 0. Columns of these names that docs already has are replaced; rows, repeated ones too, stay."""
+def predict(docs: DataFrame, model: Model, into: tuple[str, str, str] = ("lang_pred", "score", "support")) -> DataFrame:
+    """Add the language, its score and the share of words that support a language to every row, from its whole text
+    alone; a text that is null or has no letter is `und` with 0 and 0. Columns with the names of the results that docs
+    already has are replaced (give other names to keep them); rows, repeated ones too, stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in into]
 
     def make():
         scorer = Scorer(shared.value)
 
         def work(batch: dict) -> dict:
             found = [scorer(t or "") for t in batch["text"]]
-            return batch | {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
+            return batch | {name: [f[i] for f in found] for i, name in enumerate(into)}
 
         return work
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema)
-    return map_columns(docs.select(kept), make, f"{fields}, lang_pred string, score double")
+    return map_columns(docs.select(kept), make, f"{fields}, `{into[0]}` string, `{into[1]}` double, `{into[2]}` double")
 
 
 def learn_and_predict(docs: DataFrame) -> DataFrame:
-    """Fit on the labelled rows that are not held out and predict all: doc_id, held_out, lang_pred, score."""
+    """Fit on the labelled rows that are not held out and predict all: doc_id, held_out, lang_pred, score, support."""
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_of().alias("text"))
     return predict(texts, model).drop("text")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """The rows whose language could be told: not `und`, and the best language with at least least_score."""
+def keep_identified(docs: DataFrame, least_support: float = 0.2) -> DataFrame:
+    """The rows in a learned language: with a letter, and with at least least_support of the words known or made of
+    known n-grams of KNOWN_GRAM letters. If no language can be learned, all rows with a letter stay."""
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    kept = predict(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    into = unused(docs, "lang_pred", "score", "support")
+    kept = predict(docs, model, into).where((F.col(into[0]) != UNDETERMINED) & (F.col(into[2]) >= least_support))
     return kept.select(*docs.columns)

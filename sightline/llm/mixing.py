@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import text_of, write_table
+from .shared import drop_table, text_of, unused, write_table
 
 BLOCK_TOKENS = 65_536
 #: Sources up to this number are weighed on the driver and broadcast; more are weighed by jobs and joined by shuffle.
@@ -134,7 +134,8 @@ def plan(docs: DataFrame, target: Target) -> DataFrame:
     counted = docs.select("doc_id", source_of(docs).alias("mix_source"), word_count(text_of()).alias("n_tokens")).withColumn("doc_key", _doc_key(target.seed))
     counted = write_table(counted, "token-counts")
     sizes = counted.groupBy("mix_source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
-    sources = write_table(quotas(write_table(sizes, "source-sizes"), target), "quotas")
+    counts = write_table(sizes, "source-sizes")
+    sources = write_table(quotas(counts, target), "quotas")
 
     cut = _small(sources.where("rest > 0").select("mix_source", "n_blocks", "rest", F.col("full_epochs").alias("epoch")))
     dealt = counted.join(cut, "mix_source").withColumn("block", _block(F.col("n_blocks")))
@@ -144,7 +145,10 @@ def plan(docs: DataFrame, target: Target) -> DataFrame:
     block = _first_over(blocks.drop("rest").join(_small(bucket), ["mix_source", "bucket"]), ["mix_source"], "key").select("mix_source", "block", F.col("key").alias("cut_key"), "rest")
     in_block = dealt.drop("rest", "epoch").join(_small(block), ["mix_source", "block"]).groupBy("mix_source", "cut_key", "doc_key", "rest").agg(F.sum("n_tokens").alias("n"))
     last = _first_over(in_block, ["mix_source"], "doc_key").select("mix_source", "cut_key", F.col("doc_key").alias("cut_doc"))
-    return write_table(sources.join(last, "mix_source", "left"), "mix-plan")
+    out = write_table(sources.join(last, "mix_source", "left"), "mix-plan")
+    for table in (counted, counts, sources, blocks):
+        drop_table(table)
+    return out
 
 
 def _small(sources: DataFrame) -> DataFrame:
@@ -152,24 +156,32 @@ def _small(sources: DataFrame) -> DataFrame:
     return F.broadcast(sources) if sources.count() <= DRIVER_SOURCES else sources
 
 
-def realise(docs: DataFrame, plan_: DataFrame, target: Target) -> DataFrame:
+OUT = ("epoch", "block", "block_key", "doc_key")
+
+
+def realise(docs: DataFrame, plan_: DataFrame, target: Target, into: tuple[str, str, str, str] = OUT) -> DataFrame:
     """The rows handed out: each document as often as passes reach it, with epoch (pass), block, block_key and doc_key;
     ordering a source by epoch, block_key, doc_key gives its stream. No text is shuffled.
 
-    Columns of docs stay; own columns of these names are replaced. Documents without words are part of their block.
-    Rows that share a doc_id go together. Null doc_id, text and source count as empty.
+    Columns of docs stay, whatever their names; those with the names of the results are replaced (give other names to
+    keep them). Documents without words are part of their block. Rows that share a doc_id go together. Null doc_id,
+    text and source count as empty.
     """
-    own = ["epoch", "block", "block_key", "doc_key", "mix_source"]
-    names = [c for c in docs.columns if c not in own]
-    keyed = docs.select(*names).withColumn("mix_source", source_of(docs)).withColumn("doc_key", _doc_key(target.seed))
+    names = [c for c in docs.columns if c not in into]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), source_of(docs).alias("mix_source"), _doc_key(target.seed).alias("doc_key"))
     rows = keyed.join(_small(plan_.select("mix_source", "full_epochs", "n_blocks", "cut_key", "cut_doc")), "mix_source")
     rows = rows.withColumn("block", _block(F.col("n_blocks"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full_epochs"))))
     rows = rows.withColumn("block_key", _block_key(target.seed))
     inside = (F.col("block_key") < F.col("cut_key")) | ((F.col("block_key") == F.col("cut_key")) & (F.col("doc_key") <= F.col("cut_doc")))
     kept = rows.where((F.col("epoch") < F.col("full_epochs")) | F.coalesce(inside, F.lit(False)))
-    return kept.select(*names, "epoch", "block", "block_key", "doc_key")
+    return kept.select("row.*", *[F.col(own).alias(name) for own, name in zip(OUT, into, strict=True)])
 
 
-def mix(docs: DataFrame, target: Target) -> DataFrame:
+def mix(docs: DataFrame, target: Target, into: tuple[str, str, str, str] = OUT) -> DataFrame:
     """Plan over all rows, then realise. An empty table gives no rows."""
-    return realise(docs, plan(docs, target), target)
+    return realise(docs, plan(docs, target), target, into)
+
+
+def repeat(docs: DataFrame, target: Target) -> DataFrame:
+    """The rows handed out with the columns of docs alone, all of them untouched."""
+    return mix(docs, target, unused(docs, *OUT)).select(*[f"`{c}`" for c in docs.columns])

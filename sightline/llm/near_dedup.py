@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_table, map_columns, text_of, write_table
+from .shared import drop_table, map_columns, text_of, unused, write_table
 
 #: Minwise functions: the first COORDINATES choose paths, all of them make the sketch (a byte each).
 FUNCTIONS, COORDINATES = 256, 32
@@ -334,4 +334,5 @@ def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> Data
     """The documents that near_groups keeps, one of each group of linked ones; all columns stay."""
     gone = write_table(near_groups(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    (name,) = unused(docs, "gone")
+    return docs.join(gone.select(F.col("doc_id").alias(name)), docs["doc_id"].cast("long") == F.col(name), "left_anti")

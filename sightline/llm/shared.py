@@ -18,11 +18,14 @@ ARROW_ROWS = 2_048
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder
+    of its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
         if not held:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sightline-"))
             held = spark.sparkContext.getCheckpointDir()
         found = held
@@ -53,6 +56,18 @@ def drop_table(df: DataFrame) -> None:
         delete_folder(df.sparkSession, files[0].rpartition("/")[0])
 
 
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, with underscores put before those that df has as columns already (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def text_of(column: str = "text") -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))

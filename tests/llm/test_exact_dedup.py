@@ -46,3 +46,34 @@ def test_runs_compact_to_the_smallest(spark):
     assert len(index.runs) == 3
     assert {(r["digest"], r["id"], r["n"]) for r in index.compact().collect()} == {("d0", 0, 5), ("d1", 1, 3), ("d2", 2, 4)}
     assert len(index.runs) == 1
+
+
+def test_clashing_columns_stay(spark, odd_documents):
+    names = ("stays", "digest", "own", "own_id", "row", "m", "n")
+    docs = odd_documents
+    for name in names:
+        docs = docs.withColumn(name, F.lit("own"))
+    out = exact_dedup.drop_copies(docs, keep="largest")
+    assert out.columns == docs.columns
+    assert sorted(map(str, (r["doc_id"] for r in out.collect()))) == sorted(["10", "2", "5", "4", "6", "7", "8", "9", "None"])
+    assert all(r[name] == "own" for r in out.collect() for name in names)
+
+
+def test_hot_texts_and_cold_ones_alike(spark):
+    rows = [(i, "hot") for i in range(2_000)] + [(5_000 + i, f"cold {i // 3}") for i in range(300)]
+    got = {r["doc_id"]: r for r in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), keep="largest").collect()}
+    assert len(got) == len(rows)
+    assert all((got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (1_999, 2_000, i == 1_999) for i in range(2_000))
+    assert all((got[5_000 + i]["keep_id"], got[5_000 + i]["group_size"]) == (5_000 + i // 3 * 3 + 2, 3) for i in range(300))
+
+
+def test_lookup_reads_single_digests_through_the_files(spark):
+    index = exact_dedup.MergeIndex(spark)
+    rows = spark.range(1_000).select(F.col("id"), F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("digest"))
+    index.flush(rows, 2)
+    wanted = [r["digest"] for r in rows.where("id in (5, 77)").collect()]
+    assert sorted(r["id"] for r in index.lookup([*wanted, "0" * 64]).collect()) == [5, 77]
+    index.compact()
+    found = index.lookup(wanted)
+    assert sorted(r["id"] for r in found.collect()) == [5, 77]
+    assert "In(digest" in found._jdf.queryExecution().executedPlan().toString()

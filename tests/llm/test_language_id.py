@@ -41,3 +41,49 @@ def test_unseen_words_fall_back_to_shorter_grams():
     assert scorer("word")[0] == "a"
     assert scorer("quux")[0] == "a"  # the longer gram decides
     assert scorer("qz")[0] == "b"
+
+
+def test_a_letter_is_never_undetermined():
+    model = language_id.Model(["a", "b"], language_id.np.log([0.6, 0.4]), {"word": [5.0, 1.0]}, [{} for _ in range(5)])
+    scorer = language_id.Scorer(model)
+    for text in ("m\u00b2", "\u00b2m\u00b2", "\u6f22", "x1", "_y_", "\u01c5", "\u0130"):
+        assert scorer(text)[0] == "a", text
+    for text in ("", "\u00b2 1 _ !", "\u2460\u0661"):
+        assert scorer(text) == ("und", 0.0, 0.0), text
+
+
+def brute(model, text):
+    """The rule word by word, on probabilities written out."""
+    runs = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    total = [float(p) for p in model.prior]
+    for word in runs:
+        if word in model.word_row:
+            row = [list(model.word_score[model.word_row[word]])]
+        else:
+            row = []
+            for n in range(5, 0, -1):
+                places, score = model.grams[n - 1]
+                row = [list(score[places[g]]) for i in range(len(word) + 3 - n) if (g := f"<{word}>"[i : i + n]) in places and len(g) == n]
+                if row:
+                    break
+        for k in range(len(total)):
+            total[k] += sum(r[k] for r in row) / len(row) if row else 0
+    return model.languages[max(range(len(total)), key=lambda k: total[k])] if runs else "und"
+
+
+def test_predictions_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    assert len(model.word_row) > 1000 and all(len(g[0]) > 10 for g in model.grams)
+    for row in language_id.predict(docs, model).collect():
+        assert row["lang_pred"] == brute(model, row["text"] or "")
+
+
+def test_keep_identified_keeps_columns_and_drops_foreign_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.col("doc_id") + 0.5).withColumn("Lang_Pred", F.lit("own"))
+    foreign = docs.limit(1).withColumns({"doc_id": F.lit(-1).cast("long"), "text": F.lit("\u6f22\u5b57 \u4eee\u540d " * 9), "lang": F.lit(None).cast("string")})
+    kept = language_id.keep_identified(docs.unionByName(foreign)).collect()
+    assert -1 not in {r["doc_id"] for r in kept} and len(kept) > 0.9 * docs.count()
+    assert all(r["score"] == r["doc_id"] + 0.5 and r["Lang_Pred"] == "own" for r in kept)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.keep_identified(unlabelled).count() == docs.where(F.col("text").rlike("\\p{L}")).count()

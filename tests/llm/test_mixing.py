@@ -65,3 +65,13 @@ def test_odd_documents(odd_documents, no_documents, spark):
     assert mixing.mix(empty, target).count() == 2
     with pytest.raises(ValueError):
         mixing.Target()
+
+
+def test_clashing_columns_stay(spark, odd_documents):
+    names = ("n_blocks", "full_epochs", "cut_key", "cut_doc", "epoch", "block", "mix_source", "doc_key", "row", "a.b")
+    docs = odd_documents
+    for name in names:
+        docs = docs.withColumn(name, F.lit("own"))
+    out = mixing.repeat(docs, mixing.Target(repetition=2.0))
+    assert out.columns == docs.columns and out.count() >= docs.count()
+    assert all(r[name] == "own" for r in out.collect() for name in names)
