@@ -13,7 +13,7 @@ from sightline.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those whose best language stands out less than by chance."""
+    """Drops documents without a letter, and those most of whose words are foreign to every learned language."""
     return language_id.keep_identified(docs)
 
 
@@ -29,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Hands out every document at least once and documents of small sources again, as a row for each time."""
-    return mixing.mix(docs, queries.MIX).select(*docs.columns)
+    return mixing.repeat(docs, queries.MIX)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = shared.write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            shared.drop_table(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
