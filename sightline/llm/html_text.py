@@ -1,14 +1,18 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of text. Text in menus, footers, adverts and the like, and text of
-links, has no weight. The weights of lines are summed over sliding windows; where the sum surges a text begins, where
-it dives to nothing it ends, and the lines between are kept.
+Markup is stripped to lines, one for each block of text. What the tags say about a line is its weight: text of links,
+and text in menus, footers, adverts and the like, weighs nothing; text in an article element weighs more than its
+length. The weights of lines are summed over sliding windows; where the sum surges a text begins, where it dives to
+nothing it ends, and the lines between are kept.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +21,10 @@ from .shared import map_columns
 
 #: Lines in a window.
 WINDOW = 3
-#: Characters in a window at which a text begins; a page with less everywhere begins at its largest window.
+#: Weight in a window at which a text begins; a page with less everywhere begins at its largest window.
 SURGE = 40
 
-_markup = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_name = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _hint = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _hidden = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
@@ -29,21 +33,118 @@ RAW = frozenset("script style noscript template svg math iframe object textarea
 OUTSIDE = frozenset("nav footer aside form dialog menu button head".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role that mark text outside the article.
+CONTAINERS = frozenset("article blockquote body center dd details div fieldset figure li main section td th".split())
+#: Blocks that are text themselves, whatever their class is called.
+TEXT_BLOCKS = frozenset("html body main p h1 h2 h3 h4 h5 h6 pre blockquote figcaption caption td th tr table tbody".split())
+#: Words of class, id and role that mark text outside the article, and words that say nothing.
 HINTS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer comment comments disqus reply replies cookie cookies consent notice notification newsletter subscribe subscription signup login share sharing social related recommended popup modal toolbar widget pagination pager skip complementary contentinfo search".split())
+NEUTRAL = frozenset("area areas bar bars block blocks bottom box boxes button buttons container form forms group header holder icon icons inner item items left link links list lists main outer page panel panels post posts region right section sections site slot slots thread threads top unit units wrap wrapper".split())
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int]], bool]:
-    """The blocks of a page as (text, weight): white space made one blank, references decoded; text of links weighs
-    nothing if it is most of a block. WINDOW empty lines stand where a region outside the article was left out. Whether
-    the page marks its article as such, in which case only that part is given."""
-    lines: list[tuple[str, int]] = []
+class Line(NamedTuple):
+    text: str
+    weight: int
+
+
+class _Block(NamedTuple):
+    """A block of text as it stands in the page; place 2 in an article, 1 in a main element, 0 elsewhere."""
+
+    text: str
+    weight: int
+    parent: int
+    place: int
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Tags, comments and declarations as (start, end, lower-case name, whether it is an end tag, attributes); the name
+    of all but tags is empty. The text of RAW elements belongs to their start tags. Takes linear time: what was not
+    found once is not looked for again."""
+    at, size, absent = 0, len(page), set()
+
+    def find(what: str, begin: int) -> int:
+        if what in absent:
+            return -1
+        place = page.find(what, begin)
+        if place < 0:
+            absent.add(what)
+        return place
+
+    while (begin := find("<", at)) >= 0:
+        if page.startswith("<!--", begin):
+            stop = find("-->", begin + 4)
+            at = stop + 3 if stop >= 0 else size
+            yield begin, at, "", False, ""
+            continue
+        named = _name.match(page, begin + 1)
+        if not named and page[begin + 1 : begin + 2] not in ("!", "?"):
+            at = begin + 1
+            continue
+        stop = find(">", begin)
+        if stop < 0:
+            return
+        at = named.end() if named else begin + 1
+        while named:  # a > inside a quoted value does not end the tag
+            quote = min((q for q in (find('"', at), find("'", at)) if q >= 0), default=size)
+            if quote > stop:
+                break
+            close = find(page[quote], quote + 1)
+            if close < 0:
+                break
+            at = close + 1
+            if close > stop:
+                stop = find(">", at)
+                if stop < 0:
+                    return
+        at = stop + 1
+        if not named:
+            yield begin, at, "", False, ""
+            continue
+        name, ends, rest = named[1].lower(), page[begin + 1] == "/", page[named.end() : stop]
+        if name in RAW and not ends and not rest.endswith("/"):
+            if f"</{name}" not in absent:
+                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                if not end:
+                    absent.add(f"</{name}")
+                at = end.end() if end else size
+            else:
+                at = size
+        yield begin, at, name, ends, rest
+
+
+def _outside(name: str, rest: str, in_article: bool) -> bool:
+    """Whether an element is outside the main text by its name, or by what its attributes say."""
+    if name in OUTSIDE or name == "header" and not in_article:
+        return True
+    if name in TEXT_BLOCKS or not rest:
+        return False
+    if _hidden.search(rest):
+        return True
+    for hint in _hint.findall(rest):
+        for token in hint.strip("\"'").lower().split():
+            words = [w for w in re.split(r"[^a-z]+", token) if w]
+            if not HINTS.isdisjoint(words) and all(w in HINTS or w in NEUTRAL for w in words):
+                return True
+    return False
+
+
+def _blocks(page: str) -> list[_Block | None]:
+    """The blocks of text of a page: white space made one blank, references decoded. Text of links weighs nothing if it
+    is most of a block. None stands for a region outside the main text."""
+    blocks: list[_Block | None] = []
     held: list[str] = []
     linked = 0  # characters of links in held, without white space
-    mask: list[str] = []  # open elements since a region outside the article began
-    links, at = 0, 0
-    has_article = False
-    first_inside = 0
+    mask: list[str] = []  # open elements since a region outside the main text began
+    parents: list[tuple[str, int]] = [("", 0)]
+    open_: Counter = Counter()  # the names in parents
+    masked: Counter = Counter()  # the names in mask
+    links = made = at = 0
+
+    def place() -> int:
+        return 2 if open_["article"] else 1 if open_["main"] else 0
+
+    def hide(name: str) -> None:
+        mask.append(name)
+        masked[name] += 1
 
     def close() -> None:
         nonlocal linked
@@ -51,12 +152,9 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], bool]:
         held.clear()
         if text and not mask:
             solid = len(text.replace(" ", ""))
-            lines.append((text, max(0, solid - linked) if linked * 2 >= solid else len(text)))
+            blocks.append(_Block(text, max(0, solid - linked) if linked * 2 >= solid else len(text), parents[-1][1], place()))
         linked = 0
 
-    def gap() -> None:
-        lines.extend([("", 0)] * WINDOW)
-
     def take(text: str) -> None:
         nonlocal linked
         if text and not mask:
@@ -64,107 +162,116 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], bool]:
             held.append(text)
             linked += len("".join(text.split())) if links else 0
 
-    size = len(page)
-    while at < size:
-        found = _markup.search(page, at)
-        if not found:
-            take(page[at:])
-            break
-        take(page[at : found.start()])
-        at = found.end()
-        name = (found["name"] or "").lower()
-        if not name:
-            continue
-        ends, rest = bool(found["end"]), found["rest"] or ""
-        if name in RAW and not ends:
-            if not rest.endswith("/"):
-                stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else size
+    def leave() -> None:
+        mask.clear()
+        masked.clear()
+        held.clear()
+        blocks.append(None)
+
+    for begin, stop, name, ends, rest in tags(page):
+        take(page[at:begin])
+        at = stop
+        if not name or name in RAW:
             continue
-        if name == "br" or name in ("img", "wbr", "input"):
+        alone = name in EMPTY or rest.endswith("/")
+        if name in ("br", "img", "wbr", "input"):
             if not mask and name != "wbr":
                 held.append(" ")
             continue
         if mask:
             if ends:
-                if name in mask:
-                    while mask.pop() != name:
-                        pass
+                if masked[name]:
+                    while (last := mask.pop()) != name:
+                        masked[last] -= 1
+                    masked[name] -= 1
                     if not mask:
-                        held.clear()
-                        gap()
+                        leave()
                 continue
-            if name in ("article", "main") and mask[0] in ("div", "section", "p", "ul", "ol", "li", "table", "span", "head", "nav", "header"):
-                mask.clear()
-                held.clear()
-                gap()
+            if name == "body" and mask[0] == "head":
+                leave()
+            elif name in ("article", "main") and mask[0] not in ("footer", "aside", "form", "dialog", "menu", "button"):
+                leave()  # the region was never closed
+            elif mask == ["p"] and name in BLOCKS:
+                leave()
             else:
-                if name not in EMPTY and not rest.endswith("/") and name not in ("p", "li", "td", "tr", "dd", "dt", "option") and name in BLOCKS:
-                    mask.append(name)
-                elif mask == ["p"] and name in BLOCKS:
-                    mask.clear()
-                    gap()
+                if not alone and name in BLOCKS and name not in ("p", "li", "td", "tr", "dd", "dt"):
+                    hide(name)
                 continue
         if name == "a":
             links = 0 if ends else 1
             continue
-        if name in BLOCKS or name in OUTSIDE:
+        block = name in BLOCKS or name in OUTSIDE
+        if block:
             close()
-            if name in ("article", "main"):
-                if not ends and not has_article:
-                    has_article, first_inside = True, len(lines)
-                gap()
-            elif not ends and not rest.endswith("/") and _outside(name, rest, has_article):
-                gap()
-                mask.append(name)
-        elif not ends and name not in EMPTY and not rest.endswith("/") and rest and _outside(name, rest, has_article):
+        if ends:
+            if open_[name]:
+                while (last := parents.pop()[0]) != name:
+                    open_[last] -= 1
+                open_[name] -= 1
+        elif not alone and (block or rest) and _outside(name, rest, place() == 2):
             close()
-            gap()
-            mask.append(name)
+            hide(name)
+        elif not alone and name in CONTAINERS:
+            if name in ("li", "td", "th", "dd") and parents[-1][0] == name:
+                parents.pop()  # its end tag may be left out
+                open_[name] -= 1
+            made += 1
+            open_[name] += 1
+            parents.append((name, made))
+    take(page[at:])
     close()
-    if has_article and any(text for text, _ in lines[first_inside:]):
-        return lines[first_inside:], True
-    return lines, False
+    return blocks
 
 
-def _outside(name: str, rest: str, has_article: bool) -> bool:
-    if name in OUTSIDE or name == "header" and not has_article:
-        return True
-    if name in ("html", "body", "article", "main") or not rest:
-        return False
-    if _hidden.search(rest):
-        return True
-    for hint in _hint.findall(rest):
-        if not HINTS.isdisjoint(re.split(r"[^a-z]+", hint.lower())):
-            return True
-    return False
+def lines_of(page: str, window: int = WINDOW, surge: int = SURGE) -> list[Line]:
+    """The lines of a page with their weights. If a part of the page is marked as the article (or else as main), lines
+    elsewhere are empty and lines in it weigh a surge each. A region outside the main text is one empty line where the
+    text goes on in the same element, and a window of empty lines elsewhere."""
+    blocks = _blocks(page)
+    best = max((b.place for b in blocks if b), default=0)
+    lines: list[Line] = []
+    parent, regions = None, 0
+    for block in blocks:
+        if block is None:
+            regions += 1
+            continue
+        if regions:
+            lines += [Line("", 0)] * (1 if block.parent == parent else window)
+        parent, regions = block.parent, 0
+        lines.append(Line("", 0) if block.place < best else Line(block.text, block.weight + (surge if best else 0)))
+    return lines
 
 
-def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The kept lines of a page in page order, joined by line ends; empty if it has none."""
-    lines, marked = lines_of(page)
-    weight = [w for _, w in lines]
-    sums = [sum(weight[i : i + window]) for i in range(len(weight))]
-    if not any(sums):
-        return ""
-    least = 1 if marked else min(surge, max(sums))  # in a marked article any text is a surge
+def between(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[str]:
+    """The texts between surge and dive points: a window opens on each line; the text begins where its sum surges,
+    reaches back over the lines of text before it, and ends where the sum dives to nothing."""
+    sums, total = [], 0
+    for i in range(len(lines) - 1, -1, -1):
+        total += lines[i].weight - (lines[i + window].weight if i + window < len(lines) else 0)
+        sums.append(total)
+    sums.reverse()
+    least = min(surge, max(sums, default=0))
     kept: list[str] = []
-    at = 0
-    while at < len(lines):
+    at = done = 0
+    while least and at < len(lines):
         if sums[at] < least:
             at += 1
             continue
-        begin = at  # a surge: the text reaches back over lines with text before it
-        while begin and lines[begin - 1][0] and sums[begin - 1]:
+        begin = at
+        while begin > done and lines[begin - 1].text and sums[begin - 1]:
             begin -= 1
-        while not marked and not weight[begin]:  # a window may open on lines of links
+        while not lines[begin].weight:  # a window may open on lines of links
             begin += 1
-        stop = at
-        while stop < len(lines) and sums[stop]:
-            stop += 1
-        kept += [text for text, _ in lines[begin:stop] if text]
-        at = stop
-    return "\n".join(kept)
+        while at < len(lines) and sums[at]:
+            at += 1
+        kept += [line.text for line in lines[begin:at] if line.text]
+        done = at
+    return kept
+
+
+def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The kept lines of a page in page order, joined by line ends; empty if it has none."""
+    return "\n".join(between(lines_of(page, window, surge), window, surge))
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 from sightline.llm import html_text
 
@@ -45,3 +47,82 @@ def test_odd_pages(spark):
     assert got[None]["n_chars"] == len("long words " * 50_000) - 1
     assert "First para" in got[3]["text"]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def brute_between(lines, window, surge):
+    """Runs of windows with weight; a run in which some window surges is text, from its first surge back over lines
+    with text, without links at its beginning."""
+    sums = [sum(w for _, w in lines[i : i + window]) for i in range(len(lines))]
+    least, kept, i = min(surge, max(sums, default=0)), [], 0
+    while least > 0 and i < len(lines):
+        run = [j for j in range(i, len(lines)) if all(sums[i : j + 1])]
+        surges = [j for j in run if sums[j] >= least]
+        if surges:
+            first = surges[0]
+            while first - 1 in run and lines[first - 1][0]:
+                first -= 1
+            body = [lines[j] for j in run if j >= first]
+            while not body[0][1]:
+                body.pop(0)
+            kept += [text for text, _ in body if text]
+        i = (run[-1] if run else i) + 1
+    return kept
+
+
+def test_windows_against_brute_force():
+    draw = random.Random(3)
+    for _ in range(3_000):
+        lines = []
+        for k in range(draw.randint(0, 25)):
+            text = draw.choice(["", f"t{k}", f"t{k}"])
+            lines.append(html_text.Line(text, draw.choice([0, 0, 1, 5, 20, 50]) if text else 0))
+        window, surge = draw.randint(1, 4), draw.choice([1, 10, 40])
+        assert html_text.between(lines, window, surge) == brute_between(lines, window, surge), lines
+
+
+LONG = "A paragraph with quite a few plain words in it, number {}."
+
+
+def paragraphs(n, tag="p"):
+    return "".join(f"<{tag}>{LONG.format(i)}</{tag}>" for i in range(n))
+
+
+def test_nothing_after_the_article():
+    page = f"<body><article><h1>T</h1>{paragraphs(2)}<p>End.</article><div class='latest'><p>Latest posts of this long list of ours</div><p>Copyright of all these words 2020</p></body>"
+    assert html_text.main_text(page).split("\n") == ["T", LONG.format(0), LONG.format(1), "End."]
+
+
+def test_paragraphs_with_telling_classes_stay():
+    page = f"<article><p class='share price'>Shares rose.</p><div class='search-results'>Nothing found.</div>{paragraphs(1)}<div class='share-buttons'>Share it</div><div id='related-posts'><p>More</div></article>"
+    assert html_text.main_text(page).split("\n") == ["Shares rose.", "Nothing found.", LONG.format(0)]
+
+
+def test_short_end_after_an_advert_without_an_article():
+    page = f"<body><div id=c>{paragraphs(3)}<div class=ad><p>Buy</p><p>this</p><p>now</p><p>!</p></div><p>Short end.</p></div><footer>x</footer></body>"
+    assert html_text.main_text(page).split("\n") == [*(LONG.format(i) for i in range(3)), "Short end."]
+
+
+def test_list_table_and_nested_divisions():
+    items = "".join(f"<li>{LONG.format(i)}" for i in range(3))
+    cells = "".join(f"<tr><td>{LONG.format(i)}<td>{i}" for i in range(2))
+    page = f"<div><ul><li><a href=a>One</a><li><a href=b>Two</a><li><a>Three</a></ul></div><div><div><h2>Head</h2><ul>{items}</ul></div><table>{cells}</table></div><div class='pager'><a>1</a> <a>2</a></div>"
+    assert html_text.main_text(page).split("\n") == ["Head", *(LONG.format(i) for i in range(3)), LONG.format(0), "0", LONG.format(1), "1"]
+
+
+def test_main_element_and_header_inside_the_article():
+    page = f"<header>Site</header><p>Before it all there is a long line of words.</p><main><section>{paragraphs(2)}</section><nav>menu</nav><p>Tail</main><p>After it all there is a long line of words.</p>"
+    assert html_text.main_text(page).split("\n") == [LONG.format(0), LONG.format(1), "Tail"]
+    page = f"<article><header><h1>Title</h1></header>{paragraphs(1)}<footer>tags</footer></article><article class='comment'>{paragraphs(2)}</article>"
+    assert html_text.main_text(page).split("\n") == ["Title", LONG.format(0)]
+
+
+def test_quoted_ends_of_tags_and_text_that_looks_like_markup():
+    page = f"<article><p title='a > b' data-x=\"</p>\">1 < 2 and 3 > 2</p><!-- <p>gone</p> --><![CDATA[x]]>{paragraphs(1)}<p title=\"open>still here</p></article>"
+    assert html_text.main_text(page).split("\n") == ["1 < 2 and 3 > 2", LONG.format(0), "still here"]
+
+
+def test_broken_markup_takes_linear_time():
+    began = time.time()
+    for piece in ("<a ", "<a '", '<a title="', "<!", "<!-- ", "<p <", "</", "<script ", "<a b='>", "<style>", '<p x="\'>', "<div class=ad>", "<div>x", "<div class=ad></p>"):
+        html_text.main_text(piece * (600_000 // len(piece)))
+    assert time.time() - began < 60
