@@ -9,9 +9,10 @@ may have a partner there; only these bring their whole texts, and links are conf
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_table, map_columns, text_of, unused, write_table
+from .shared import drop_table, in_blocks, join_counted, map_columns, text_of, unused, write_table
 
-#: Minwise functions: the first COORDINATES choose paths, all of them make the sketch (a byte each).
+#: Minwise functions, all of which make the sketch (a byte each). Each tree chooses its paths by COORDINATES of its own.
 FUNCTIONS, COORDINATES = 256, 32
 BRANCHES = 3
 NODE_LIMIT = 2_000
@@ -105,8 +106,8 @@ def minwise(tokens: np.ndarray) -> np.ndarray:
     return best
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, h1 and h2 (a hash of the whole set), coords (path tokens) and sketch of every document."""
+def sketches(docs: DataFrame, words: int, trees: int) -> DataFrame:
+    """doc_id, n_shingles, h1 and h2 (a digest of the whole set), coords (path tokens) and sketch of every document."""
 
     def make() -> Callable[[dict], dict]:
         def work(batch: dict) -> dict:
@@ -115,9 +116,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 found = shingles(text, words)
                 best = minwise(found)
                 out["n_shingles"].append(len(found))
-                out["h1"].append(int(found.sum(dtype=_u).astype(np.int64)))
-                out["h2"].append(int(_mix(found).sum(dtype=_u).astype(np.int64)))
-                out["coords"].append(best[:COORDINATES].astype(np.int32))
+                digest = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
+                out["h1"].append(int(digest[0]))
+                out["h2"].append(int(digest[1]))
+                out["coords"].append(best[: trees * COORDINATES].astype(np.int32))
                 out["sketch"].append((best >> np.uint32(7)).astype(np.uint8).tobytes())
             return out
 
@@ -131,21 +133,23 @@ def _child(node: Column, k: Column) -> Column:
 
 
 def _roots(trees: int) -> Column:
-    """The nodes of the first level: each tree has functions of its own."""
-    return F.explode(F.array(*[_child(F.lit(-1 - tree), F.lit((tree * BRANCHES + i) % COORDINATES)) for tree in range(trees) for i in range(BRANCHES)]))
+    """The nodes of the first level as (tree, node)."""
+    return F.inline(F.array(*[F.struct(F.lit(tree).alias("tree"), _child(F.lit(-1 - tree), F.lit(tree * COORDINATES + i)).alias("node")) for tree in range(trees) for i in range(BRANCHES)]))
 
 
 def _children() -> Column:
-    """The nodes below a node, by functions drawn from its name."""
-    return F.explode(F.array(*[_child(F.col("node"), F.pmod(F.xxhash64("node", F.lit(i)), F.lit(COORDINATES)).cast("int")) for i in range(BRANCHES)]))
+    """The nodes below a node, by functions of its tree drawn from its name."""
+    drawn = lambda i: F.col("tree") * COORDINATES + F.pmod(F.xxhash64("node", F.lit(i)), F.lit(COORDINATES)).cast("int")
+    return F.explode(F.array(*[_child(F.col("node"), drawn(i)) for i in range(BRANCHES)]))
 
 
 def trees_for(recall: float, threshold: float) -> int:
-    """Trees needed to bring together a pair at the threshold with this chance, however deep its path."""
+    """Trees needed to bring together a pair at the threshold with this chance, however deep its path. They share no
+    functions, so they miss a pair independently."""
     reached = 1.0
     for _ in range(MAX_DEPTH):
         reached = 1 - (1 - threshold * reached) ** BRANCHES
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - reached)))
+    return min(FUNCTIONS // COORDINATES, max(1, math.ceil(math.log(1 - recall) / math.log(1 - reached))))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, list]]:
@@ -187,6 +191,12 @@ def _by_group(rows: DataFrame, work: Callable[[dict[str, list]], dict[str, list]
     return rows.repartition(names[0]).sortWithinPartitions(names[0]).mapInArrow(run, fields)
 
 
+def least_equal(threshold: float) -> float:
+    """Equal bytes that the sketches of a pair at the threshold have, but for SLACK standard errors. Bytes agree by
+    chance as well, so the share of equal ones is at least the likeness on average."""
+    return FUNCTIONS * (threshold - SLACK * math.sqrt(threshold * (1 - threshold) / FUNCTIONS))
+
+
 def partnered(group: dict[str, list], threshold: float) -> dict[str, list] | None:
     """The members of a group that may have a partner in it, by sizes and sketches."""
     n = len(group["doc_id"])
@@ -196,8 +206,7 @@ def partnered(group: dict[str, list], threshold: float) -> dict[str, list] | Non
     order = np.argsort(size, kind="stable")
     size = size[order]
     sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(n, FUNCTIONS)[order]
-    # bytes agree by chance as well, so the share of equal ones is at least the likeness on average
-    least = FUNCTIONS * (threshold - SLACK * math.sqrt(threshold * (1 - threshold) / FUNCTIONS))
+    least = least_equal(threshold)
     reach = np.searchsorted(size, size / threshold + 1e-9, side="right")
     hit = np.zeros(n, bool)
     for i in range(n - 1):
@@ -250,16 +259,17 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 75, recall: floa
     part only through the class of its text (alone, it has a null component and is kept); rows that share a doc_id
     count as one document with several texts. An empty table gives no rows; other columns are not read.
     """
-    threshold = percent / 100
+    threshold, trees = percent / 100, trees_for(recall, percent / 100)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    every = write_table(sketches(texts, words), "sketches")
+    every = write_table(sketches(texts, words, trees), "sketches")
     same = ["h1", "h2", "n_shingles"]
-    classes = every.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("doc_id"))
-    firsts = write_table(every.join(classes.where("doc_id is not null"), [*same, "doc_id"], "left_semi").select("doc_id", "n_shingles", "coords", "sketch"), "classes")
+    classes = write_table(every.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "sets")
+    firsts = join_counted(every, classes, same).where("doc_id = first").dropDuplicates(["doc_id", *same])
+    firsts = write_table(firsts.select("doc_id", "n_shingles", "coords", "sketch"), "classes")
 
-    small, dense = _leaves(firsts, trees_for(recall, threshold))
-    groups = _with_blocks(small, dense)
-    able = _by_group(groups.join(firsts.select("doc_id", "n_shingles", "sketch"), "doc_id").select("grp", "doc_id", "n_shingles", "sketch"), lambda g: partnered(g, threshold), "grp long, doc_id long")
+    groups, kept = _leaves(firsts, trees)
+    rows, pivots = _through_pivots(groups, firsts, texts, words, percent)
+    able = _by_group(rows.join(firsts.select("doc_id", "n_shingles", "sketch"), "doc_id").select("grp", "doc_id", "n_shingles", "sketch"), lambda g: partnered(g, threshold), "grp long, doc_id long")
     able = write_table(able, "partnered")
 
     wanted = able.select("doc_id").distinct()
@@ -272,43 +282,55 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 75, recall: floa
         links = linked(group["doc_id"], [shingles(t, words) for t in group["text"]], percent)
         return {"a": [a for a, _ in links], "b": [b for _, b in links]}
 
-    found = components(_by_group(bodies, confirm, "a long, b long"))
+    links = write_table(_by_group(bodies, confirm, "a long, b long").unionByName(pivots), "near-links")
+    found = components(links)
+    for table in (firsts, *kept, able, links):
+        drop_table(table)
     return _results(every, classes, found, same)
 
 
 def _results(every: DataFrame, classes: DataFrame, found: DataFrame, same: list[str]) -> DataFrame:
-    named = classes.withColumnRenamed("doc_id", "vertex").join(found, "vertex", "left").select(*same, F.coalesce("component", "vertex").alias("component_id"))
-    out = every.select("doc_id", *same).join(named, same, "left")
+    named = classes.withColumnRenamed("first", "vertex").join(found, "vertex", "left").select(*same, F.coalesce("component", "vertex").alias("component_id"), "n")
+    out = join_counted(every.select("doc_id", *same), named, same, "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _leaves(firsts: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
-    """The nodes to compare: (node, doc_id) of small nodes, and (node, doc_id, n) of large dense ones."""
-    entries = firsts.select("doc_id", _roots(trees).alias("node"))
-    small, dense = [], []
+def _leaves(firsts: DataFrame, trees: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The nodes to compare (grp, doc_id, n, first), and the tables to delete in the end: nodes of up to NODE_LIMIT
+    documents, and larger ones that are dense or as deep as can be."""
+    entries = firsts.select("doc_id", _roots(trees))
+    leaves, tables = [], []
     for depth in range(1, MAX_DEPTH + 1):
-        sizes = entries.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-        entries = write_table(entries.join(sizes, "node"), "nodes")
-        small.append(entries.where(F.col("n") <= NODE_LIMIT).select("node", "doc_id"))
+        sizes = write_table(entries.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1"), "node-sizes")
+        entries = write_table(join_counted(entries, sizes, ["node"]), "nodes")
+        tables += [sizes, entries]
         large = entries.where(F.col("n") > NODE_LIMIT)
-        if large.isEmpty():
-            break
-        if depth == MAX_DEPTH:
-            dense.append(large.select("node", "doc_id", "n"))
+        if depth == MAX_DEPTH or large.isEmpty():
+            leaves.append(entries)
             break
+        leaves.append(entries.where(F.col("n") <= NODE_LIMIT))
         alike = write_table(_likeness(large, firsts), "likeness")
-        dense.append(large.join(alike.where(F.col("likeness") >= DENSE), "node").select("node", "doc_id", "n"))
-        branching = large.join(alike.where(F.col("likeness") < DENSE), "node").select("node", "doc_id")
-        entries = branching.join(firsts.select("doc_id", "coords"), "doc_id").select("doc_id", _children().alias("node"))
-    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    return union(small), union(dense) if dense else small[0].withColumn("n", F.lit(0).cast("long")).limit(0)
+        tables.append(alike)
+        leaves.append(large.join(alike.where(F.col("likeness") >= DENSE), "node", "left_semi"))
+        branching = large.join(alike.where(F.col("likeness") < DENSE), "node", "left_semi").select("tree", "node", "doc_id")
+        entries = branching.join(firsts.select("doc_id", "coords"), "doc_id").select("doc_id", "tree", _children().alias("node"))
+    return reduce(DataFrame.unionByName, [leaf.select(F.col("node").alias("grp"), "doc_id", "n", "first") for leaf in leaves]), tables
+
+
+def _with_first(large: DataFrame, firsts: DataFrame) -> DataFrame:
+    """node or grp, doc_id, n_shingles, sketch of the documents of large nodes, with first_n and of, the size and sketch
+    of the node's first document. There are so few large nodes that these are broadcast if their count allows it."""
+    key = large.columns[0]
+    ids = large.select(key, F.col("first").alias("doc_id")).distinct()
+    of = write_table(ids.join(firsts.select("doc_id", "n_shingles", "sketch"), "doc_id").select(key, F.col("n_shingles").alias("first_n"), F.col("sketch").alias("of")), "node-firsts")
+    of = F.broadcast(of) if of.count() <= BROADCAST_IDS // 16 else of
+    return large.select(key, "doc_id", "first").join(firsts.select("doc_id", "n_shingles", "sketch"), "doc_id").join(of, key)
 
 
 def _likeness(large: DataFrame, firsts: DataFrame) -> DataFrame:
     """The mean share of equal sketch bytes of each large node's documents with the node's first one."""
-    first = large.select("node", F.col("first").alias("doc_id")).distinct().join(firsts.select("doc_id", "sketch"), "doc_id").select("node", F.col("sketch").alias("of"))
-    rows = large.join(firsts.select("doc_id", "sketch"), "doc_id").join(first, "node").select("node", "sketch", "of")
+    rows = _with_first(large.select("node", "doc_id", "first"), firsts).select("node", "sketch", "of")
 
     def make() -> Callable[[dict], dict]:
         def work(batch: dict) -> dict:
@@ -320,14 +342,62 @@ def _likeness(large: DataFrame, firsts: DataFrame) -> DataFrame:
     return map_columns(rows, make, "node long, share double").groupBy("node").agg(F.avg("share").alias("likeness"))
 
 
-def _with_blocks(small: DataFrame, dense: DataFrame) -> DataFrame:
-    """Groups to compare: small nodes as they are; large ones cut into chunks, each pair of chunks a group."""
-    half = NODE_LIMIT // 2
-    chunks = F.ceil(F.col("n") / half).cast("int")
-    own = F.pmod(F.xxhash64("doc_id", "node"), chunks).cast("int")
-    pairs = dense.select("node", "doc_id", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    blocks = pairs.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "doc_id")
-    return small.select(F.col("node").alias("grp"), "doc_id").unionByName(blocks)
+def _through_pivots(groups: DataFrame, firsts: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(grp, doc_id) to compare, and links (a, b) that are settled already.
+
+    Documents of a large node that are linked with its first document (confirmed on full sets, both texts in the row)
+    are connected through it. They need not meet each other; only the others meet all of the node, in blocks.
+    """
+    small = groups.where(F.col("n") <= NODE_LIMIT).select("grp", "doc_id")
+    large = groups.where(F.col("n") > NODE_LIMIT).select("grp", "doc_id", "first")
+    empty = small.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
+    if large.isEmpty():
+        return small, empty
+    least, threshold = least_equal(percent / 100), percent / 100
+
+    def make() -> Callable[[dict], dict]:
+        def work(batch: dict) -> dict:
+            a, b = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, FUNCTIONS) for c in ("sketch", "of"))
+            n, m = np.array(batch["n_shingles"]), np.array(batch["first_n"])
+            near = ((a == b).sum(1) >= least) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
+            return {"doc_id": batch["doc_id"], "first": batch["first"], "near": near.tolist()}
+
+        return work
+
+    near = map_columns(_with_first(large, firsts), make, "doc_id long, first long, near boolean").where("near and doc_id <> first")
+    near = write_table(near.select("doc_id", "first").distinct(), "pivot-pairs")
+    counts = write_table(near.groupBy("first").agg(F.count(F.lit(1)).alias("n")), "pivot-counts")
+    shares = F.ceil(F.col("n") / NODE_LIMIT).cast("int")
+    near = join_counted(near, counts, ["first"]).withColumn("share", F.pmod(F.xxhash64("doc_id"), shares).cast("int"))
+    # The first document's text goes to each share of the documents of its node.
+    first_texts = texts.select(F.col("doc_id").alias("first"), F.col("text").alias("of")).join(counts, "first").dropDuplicates(["first"])
+    first_texts = first_texts.select("first", "of", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    pairs = texts.join(near.select("doc_id", "first", "share"), "doc_id").join(first_texts, ["first", "share"])
+
+    def confirm() -> Callable[[dict], dict]:
+        held: dict[int, np.ndarray] = {}
+
+        def work(batch: dict) -> dict:
+            out: dict[str, list] = {"a": [], "b": []}
+            for doc_id, first, text, of in zip(batch["doc_id"], batch["first"], batch["text"], batch["of"], strict=True):
+                if first not in held:
+                    held.clear()
+                    held[first] = shingles(of, words)
+                own, other = shingles(text, words), held[first]
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(other) - both):
+                    out["a"].append(doc_id)
+                    out["b"].append(first)
+            return out
+
+        return work
+
+    links = write_table(map_columns(pairs.select("doc_id", "first", "text", "of"), confirm, "a long, b long", rows=64), "pivot-links")
+    joined = links.select(F.col("a").alias("doc_id"), F.col("b").alias("first"), F.lit(True).alias("done")).distinct()
+    marked = large.join(joined, ["doc_id", "first"], "left").select("grp", "doc_id", (F.col("done").isNull() & (F.col("doc_id") != F.col("first"))).alias("open"))
+    marked = write_table(marked, "pivoted")
+    blocks = in_blocks(marked, "grp", "doc_id", NODE_LIMIT).select(F.xxhash64("grp", "part").alias("grp"), "doc_id")
+    return small.unionByName(blocks), links
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:

@@ -73,6 +73,44 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Rows of a key from which on it counts as hot, and hot keys that are broadcast at most.
+HOT_ROWS, HOT_KEYS = 500, 200_000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", n: str = "n") -> DataFrame:
+    """rows joined with table, which has one row per key with the number n of the rows of that key. The join is inner or
+    left.
+
+    A key with a large share of the rows is not dealt to one task: keys with n >= max(HOT_ROWS, sum(n) / HOT_KEYS) are
+    HOT_KEYS at most, so they are broadcast, and their rows stay where they are.
+    """
+    many = max(HOT_ROWS, -(-(table.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS))
+    hot = table.where(F.col(n) >= many)
+    if hot.isEmpty():
+        return rows.join(table, on, how)
+    near = rows.join(F.broadcast(hot), on)
+    far = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.where(F.col(n) < many), on, how)
+    return far.unionByName(near)
+
+
+def in_blocks(rows: DataFrame, key: str, row_id: str, size: int) -> DataFrame:
+    """Cut groups of rows (key, row_id, open, ...) into parts of at most about size rows, such that every row that is
+    open meets every row of its key in some part; rows that are not open need not meet each other. Adds part (long).
+
+    Rows are dealt to chunks by a hash of row_id; a part is a chunk of the open rows with a chunk of all rows.
+    """
+    half = max(1, size // 2)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("n_open")).where("n_open > 0")
+    chunks = lambda c: F.ceil(F.col(c) / half).cast("int")
+    dealt = join_counted(rows, counts, [key]).withColumn("of_all", F.pmod(F.xxhash64(row_id, key), chunks("n")).cast("long"))
+    dealt = dealt.withColumn("of_open", F.pmod(F.xxhash64(row_id, key, F.lit(1)), chunks("n_open")).cast("long"))
+    part = lambda a, b: a * (1 << 31) + b
+    among_open = F.transform(F.sequence(F.lit(0), chunks("n_open") - 1), lambda i: part(i.cast("long"), F.col("of_all")))
+    own = F.transform(F.sequence(F.lit(0), chunks("n") - 1), lambda i: part(F.col("of_open"), i.cast("long")))
+    parts = F.explode(F.when(F.col("open"), F.array_union(among_open, own)).otherwise(among_open))
+    return dealt.select(*rows.columns, parts.alias("part"))
+
+
 def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
