@@ -10,51 +10,6 @@ from ..operators import decision, evaluation
 from ..operators.tables import read
 from .base import query
 
-#: Line items read as candidates: SQL that Spark and DuckDB read alike.
-_CANDIDATE = {
-    "auxiliary": "l_linenumber = 7",
-    "verified": "l_returnflag = 'R'",
-    "level": "CASE WHEN l_quantity < 25 THEN 'L1' ELSE 'L2' END",
-    "gap": "l_discount > 0.08",
-    "verdict": "CASE l_partkey % 4 WHEN 0 THEN 'refuted' WHEN 1 THEN 'confirmed' WHEN 2 THEN 'uncertain' ELSE 'none' END",
-    "guard": "CASE l_suppkey % 5 WHEN 0 THEN 'effective' WHEN 1 THEN 'unknown' ELSE 'absent' END",
-    "dataflow": "CASE WHEN l_linestatus = 'F' THEN 'proven' ELSE 'not_proven' END",
-    "authz": "CASE l_orderkey % 4 WHEN 0 THEN 'protected' WHEN 1 THEN 'unknown' ELSE 'unprotected' END",
-}
-_CANDIDATE_SQL = "c AS (SELECT *, " + ", ".join(f"{sql} AS {name}" for name, sql in _CANDIDATE.items()) + " FROM lineitem)"
-
-
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").withColumns({name: F.expr(sql) for name, sql in _CANDIDATE.items()})
-
-
-@query(f"""
-    WITH {_CANDIDATE_SQL}, d AS (SELECT
-        CASE WHEN auxiliary THEN 'none' WHEN verified AND NOT gap AND level = 'L2' THEN 'l2_review' WHEN level = 'L1' THEN 'l1_triage' WHEN verified THEN 'l1_triage' ELSE 'none' END AS route,
-        CASE WHEN verdict = 'refuted' OR guard = 'effective' THEN 'informational' WHEN level = 'L1' OR gap THEN 'low' WHEN dataflow <> 'proven' OR guard = 'unknown' THEN 'medium'
-             WHEN authz = 'protected' THEN 'low' WHEN authz = 'unknown' THEN 'medium' ELSE 'high' END AS severity, l_extendedprice FROM c)
-    SELECT route, severity, count(*) AS n, round(sum(l_extendedprice), 2) AS weight FROM d GROUP BY ALL
-""")
-def severity_by_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    decided = _candidates(spark, sf_dir).select(
-        decision.route(c("auxiliary"), c("verified"), c("level"), c("gap")).alias("route"),
-        decision.severity(c("verdict"), c("guard"), c("level"), c("gap"), c("dataflow"), c("authz")).alias("severity"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
-    )
-    return decided.groupBy("route", "severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price").cast("double"), 2).alias("weight"))
-
-
-@query(f"""
-    WITH {_CANDIDATE_SQL} SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate >= TIMESTAMP '2001-01-01' AND l_tax > 0.06 THEN 'accepted' WHEN verdict = 'refuted' THEN 'machine_refuted'
-        WHEN verified THEN 'ready' WHEN verdict = 'uncertain' THEN 'needs_review' ELSE 'open' END AS state FROM c
-""")
-def review_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manual = F.expr("CASE WHEN l_shipdate >= TIMESTAMP '2001-01-01' AND l_tax > 0.06 THEN 'accepted' END")
-    state = decision.review_state(manual, F.col("verdict"), F.col("verified"))
-    return _candidates(spark, sf_dir).select("l_orderkey", "l_linenumber", state.alias("state"))
-
-
 @query("""
     WITH m AS (SELECT p_partkey, unnest(['read', 'write']) AS direction, p_size, p_retailprice, p_brand, p_type FROM part),
     e AS (SELECT *, coalesce(CASE WHEN direction = 'read' AND p_size > 40 THEN 'signature' END, CASE WHEN p_size > 30 THEN 'dangerous' END, CASE WHEN p_type = 'ECONOMY' THEN 'normal' END) AS permission FROM m),

@@ -11,7 +11,6 @@ from ..operators.tables import read
 from .base import query
 
 _STATUS = "CASE {x} % 5 WHEN 0 THEN 'unprotected' WHEN 1 THEN 'conditional' WHEN 2 THEN 'unknown' WHEN 3 THEN 'protected' ELSE 'strongly_protected' END"
-_GUARD = "CASE {x} % 6 WHEN 0 THEN 'unknown' WHEN 1 THEN 'partial' WHEN 2 THEN 'bypassable' WHEN 3 THEN 'absent' ELSE 'effective' END"
 
 
 @query(f"""
@@ -32,24 +31,6 @@ def findings_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_custkey", F.col("best.o_orderkey").alias("primary_id"), F.col("best.o_orderstatus").alias("primary_status"), "authorization_status", "n_members", "priorities")
 
 
-@query(f"""
-    WITH s AS (SELECT l_orderkey, {_GUARD.format(x='l_partkey')} AS g, CASE WHEN l_suppkey % 3 = 0 THEN 'ai_failed' WHEN l_suppkey % 3 = 1 THEN 'ai_complete' ELSE 'waiting' END AS a, l_returnflag AS v FROM lineitem)
-    SELECT l_orderkey,
-           CASE WHEN bool_or(g = 'unknown') THEN 'unknown' WHEN bool_or(g = 'partial') THEN 'partial'
-                WHEN bool_or(g = 'bypassable') OR (bool_or(g = 'absent') AND bool_or(g = 'effective')) THEN 'bypassable'
-                WHEN bool_or(g = 'absent') THEN 'absent' ELSE 'effective' END AS guard_status,
-           CASE WHEN bool_or(a = 'ai_failed') AND bool_or(a = 'ai_complete') THEN 'ai_partial' WHEN bool_or(a = 'ai_failed') THEN 'ai_failed'
-                WHEN bool_or(a = 'ai_complete') THEN 'ai_complete' ELSE 'not_analyzed' END AS analysis_status,
-           CASE WHEN count(DISTINCT v) = 1 THEN min(v) ELSE 'mixed' END AS review_status
-    FROM s GROUP BY 1
-""")
-def status_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = F.when(F.col("l_suppkey") % 3 == 0, "ai_failed").when(F.col("l_suppkey") % 3 == 1, "ai_complete").otherwise("waiting")
-    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        lattice.guard(F.expr(_GUARD.format(x="l_partkey"))).alias("guard_status"), lattice.analysis(a).alias("analysis_status"), lattice.review(F.col("l_returnflag")).alias("review_status")
-    )
-
-
 @query("""
     WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS k FROM orders WHERE o_orderstatus = 'O')
     SELECT o_orderkey, k::INTEGER AS place FROM r WHERE k <= 20
