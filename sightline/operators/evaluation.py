@@ -23,9 +23,24 @@ def confusion(df: DataFrame, truth: Column, predicted: Column, category: str) ->
     return scored.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), both)).withColumn("category", F.coalesce("c", F.lit("total"))).drop("c")
 
 
-def gate(current: DataFrame, baseline: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """metric, current, baseline, decision for every metric of either side: PASS, BLOCK (worse by more than the
-    tolerance, or missing now) or SKIP (missing in the baseline)."""
-    both = current.select("metric", F.col("value").alias("current")).join(baseline.select("metric", F.col("value").alias("baseline")), "metric", "full")
-    worse = F.col("current") < F.col("baseline") - tolerance
-    return both.withColumn("decision", F.when(F.col("baseline").isNull(), "SKIP").when(F.col("current").isNull() | worse, "BLOCK").otherwise("PASS"))
+#: The metrics that the gate looks at.
+GATED = ("aggregate.explorer_hit_rate", "aggregate.conditional_hit_rate", "metrics.candidate.precision", "metrics.candidate.recall", "metrics.candidate.f1")
+
+
+def gate(current: DataFrame, baseline: DataFrame, tolerances: dict[str, float] | None = None, metrics: tuple[str, ...] = GATED) -> DataFrame:
+    """metric, current, baseline, deficit, verdict, gate for each of the metrics.
+
+    A metric without a baseline is skipped; one that is missing now, or worse by more than its tolerance (by its short
+    name, else 0), blocks. The gate blocks if a metric does, or if no metric has a baseline. The result has one row per
+    listed metric, whatever the inputs hold.
+    """
+    spark = current.sparkSession
+    short = lambda name: (tolerances or {}).get(name.rsplit(".", 1)[-1], 0.0)
+    listed = spark.createDataFrame([(m, float(short(m))) for m in metrics], "metric string, tolerance double")
+    side = lambda df, name: df.groupBy("metric").agg(F.max("value").alias(name))
+    both = listed.join(side(current, "current"), "metric", "left").join(side(baseline, "baseline"), "metric", "left")
+    deficit = F.round(F.col("baseline") - F.col("current"), 10)
+    verdict = F.when(F.col("baseline").isNull(), "SKIP").when(F.col("current").isNull() | (deficit > F.col("tolerance")), "BLOCK").otherwise("ALLOW")
+    judged = both.select("metric", "current", "baseline", deficit.alias("deficit"), verdict.alias("verdict"))
+    whole = judged.agg((F.bool_or(F.col("verdict") == "BLOCK") | F.bool_and(F.col("verdict") == "SKIP")).alias("stop"))
+    return judged.crossJoin(F.broadcast(whole)).withColumn("gate", F.when(F.col("stop"), "BLOCK").otherwise("ALLOW")).drop("stop")  # one row joined

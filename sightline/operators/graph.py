@@ -64,19 +64,25 @@ def tree(edges: DataFrame, entry: DataFrame, depth_limit: int = 8, node_limit: i
 
 def walk_up(parents: DataFrame, most: int = 8) -> DataFrame:
     """vertex, top, steps, gap: from each vertex (vertex, parent) along its parents, at most so many steps. gap says why
-    the walk ended early: cycle, depth_limit or none (null). Vertices must be unique."""
+    the walk ended early: cycle (the next vertex was passed already, wherever the walk began), depth_limit or none
+    (null). Vertices must be unique. The path of a walk, at most `most` long, goes along in its row."""
     parents = written(parents.select("vertex", "parent"))
-    start = parents.select("vertex", F.col("parent").alias("next"), F.col("vertex").alias("top"), F.lit(0).cast("long").alias("steps"))
     up = parents.select(F.col("vertex").alias("next"), F.col("parent").alias("above"))
-    going, ended = start, []
-    for _ in range(most):
-        ended.append(going.where("next is null or next = vertex").select("vertex", "top", "steps", F.when(F.col("next").isNull(), None).otherwise("cycle").alias("gap")))
-        moved = going.where("next is not null and next <> vertex").join(up, "next", "left")
-        going = written(moved.select("vertex", F.col("above").alias("next"), F.col("next").alias("top"), (F.col("steps") + 1).alias("steps")))
+    going = parents.select("vertex", F.col("parent").alias("next"), F.array("vertex").alias("path"))
+    again = F.array_contains("path", F.col("next"))
+    ended = []
+    for step in range(most + 1):
+        stop = F.col("next").isNull() | again
+        gap = F.when(F.col("next").isNull(), None).when(again, "cycle").otherwise("depth_limit")
+        done = going.where(F.coalesce(stop, F.lit(True))) if step < most else going
+        ended.append(done.select("vertex", F.element_at("path", -1).alias("top"), (F.size("path") - 1).cast("long").alias("steps"), gap.alias("gap")))
+        if step == most:
+            break
+        moved = going.where(~F.coalesce(stop, F.lit(True))).join(up, "next", "left")
+        going = written(moved.select("vertex", F.col("above").alias("next"), F.concat("path", F.array("next")).alias("path")))
         if going.isEmpty():
             break
-    gap = F.when(F.col("next").isNull(), None).when(F.col("next") == F.col("vertex"), "cycle").otherwise("depth_limit")
-    out = going.select("vertex", "top", "steps", gap.alias("gap"))
-    for part in ended:
+    out = ended[0]
+    for part in ended[1:]:
         out = out.unionByName(part)
     return out

@@ -92,21 +92,6 @@ def report_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.groupBy("source").agg(verdict.alias("verdict"), F.count_if(F.col("r") == 1).alias("n_warn"), F.count_if(F.col("r") == 2).alias("n_fail"))
 
 
-#: Policies by kind, in order: the first that matches a path gives its region.
-POLICIES = (("exact", "/fr/825", "exact_region"), ("prefix", "/en/6", "prefix_region"), ("pattern", "^/(de|es)/[0-9]*5$", "pattern_region"))
-
-
-@query(r"""
-    WITH p AS (SELECT page_id, regexp_extract(url, '//[^/?#]+([^?#]*)', 1) AS path FROM pages)
-    SELECT page_id, CASE WHEN path = '/fr/825' THEN 'exact_region' WHEN starts_with(path, '/en/6') THEN 'prefix_region' WHEN regexp_matches(path, '^/(de|es)/[0-9]*5$') THEN 'pattern_region' ELSE 'default' END AS region FROM p
-""")
-def path_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.col("path")
-    test = {"exact": lambda v: path == v, "prefix": path.startswith, "pattern": path.rlike}
-    pages = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "//[^/?#]+([^?#]*)", 1).alias("path"))
-    return pages.select("page_id", decision.cascade([(test[kind](value), region) for kind, value, region in POLICIES], "default").alias("region"))
-
-
 @query("""
     SELECT p_partkey, count(l_orderkey) > 0 AS call_site_exists, coalesce(bool_and(l_discount < 0.1), false) AS argument_constant, count(*) FILTER (l_returnflag = 'N') AS n_unresolved
     FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1

@@ -10,21 +10,6 @@ from ..operators import decision, evaluation
 from ..operators.tables import read
 from .base import query
 
-@query("""
-    WITH m AS (SELECT p_partkey, unnest(['read', 'write']) AS direction, p_size, p_retailprice, p_brand, p_type FROM part),
-    e AS (SELECT *, coalesce(CASE WHEN direction = 'read' AND p_size > 40 THEN 'signature' END, CASE WHEN p_size > 30 THEN 'dangerous' END, CASE WHEN p_type = 'ECONOMY' THEN 'normal' END) AS permission FROM m),
-    s AS (SELECT *, CASE permission WHEN 'signature' THEN 3 WHEN 'dangerous' THEN 2 WHEN 'normal' THEN 1 ELSE 0 END AS r FROM e)
-    SELECT p_brand, direction, ['unprotected', 'conditional', 'unknown', 'protected', 'strongly_protected'][min(r) + 1] AS weakest, count(*) AS n FROM s GROUP BY ALL
-""")
-def authorization_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each component in both directions: the direction's own permission, else the component's, else the package's."""
-    rows = read(spark, sf_dir, "part").select("p_brand", "p_size", "p_type", F.explode(F.array(F.lit("read"), F.lit("write"))).alias("direction"))
-    own = F.when((F.col("direction") == "read") & (F.col("p_size") > 40), "signature")
-    permission = F.coalesce(own, F.when(F.col("p_size") > 30, "dangerous"), F.when(F.col("p_type") == "ECONOMY", "normal"), F.lit("none"))
-    status = decision.cascade([(permission == "signature", "protected"), (permission == "dangerous", "unknown"), (permission == "normal", "conditional")], "unprotected")
-    return rows.groupBy("p_brand", "direction").agg(lattice.least(status, lattice.AUTHORIZATION).alias("weakest"), F.count(F.lit(1)).alias("n"))
-
-
 @query("""
     WITH d AS (SELECT coalesce(source, 'none') AS c, quality = 1 AS t, n_chars >= 1000 AS p FROM documents JOIN labels USING (doc_id)),
     n AS (SELECT c, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn
@@ -38,22 +23,33 @@ def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.confusion(docs, F.col("quality") == 1, F.col("n_chars") >= 1000, "source")
 
 
-_YEAR = "SELECT c_mktsegment AS metric, round(avg(o_totalprice), 4) AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) = {y} AND {extra} GROUP BY 1"
+_VALUE = "CASE WHEN {y} THEN {v} END"
+#: The five metrics as averages by year of order, some of them missing on either side.
+_METRICS = {
+    "aggregate.explorer_hit_rate": ("o_orderstatus = 'F'", 1997, 1998), "aggregate.conditional_hit_rate": ("o_orderstatus = 'P'", 1997, 1996), "metrics.candidate.precision": ("o_orderpriority = '1-URGENT'", 1996, 1998),
+    "metrics.candidate.recall": ("o_orderpriority = '2-HIGH'", 1998, 3000), "metrics.candidate.f1": ("o_orderpriority = '5-LOW'", 3000, 1997),
+}
+
+
+def _scores(side: int) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS metric, round(avg(CASE WHEN {test[0]} THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS value FROM orders WHERE year(o_orderdate) = {test[side]}" for name, test in _METRICS.items())
 
 
 @query(f"""
-    WITH a AS ({_YEAR.format(y=1998, extra="c_mktsegment <> 'BUILDING'")}), b AS ({_YEAR.format(y=1997, extra="c_mktsegment <> 'MACHINERY'")})
-    SELECT metric, a.value AS current, b.value AS baseline, CASE WHEN b.value IS NULL THEN 'SKIP' WHEN a.value IS NULL OR a.value < b.value - 100 THEN 'BLOCK' ELSE 'PASS' END AS decision
-    FROM a FULL JOIN b USING (metric)
+    WITH a AS ({_scores(1)}), b AS ({_scores(2)}), c AS (SELECT metric, a.value AS current, b.value AS baseline, CASE WHEN metric LIKE '%.recall' THEN 0.02 WHEN metric LIKE '%.precision' THEN 0.5 ELSE 0.0 END AS tolerance FROM a JOIN b USING (metric)),
+    v AS (SELECT *, round(baseline - current, 10) AS deficit, CASE WHEN baseline IS NULL THEN 'SKIP' WHEN current IS NULL OR round(baseline - current, 10) > tolerance THEN 'BLOCK' ELSE 'ALLOW' END AS verdict FROM c)
+    SELECT metric, current, baseline, deficit, verdict, CASE WHEN bool_or(verdict = 'BLOCK') OVER () OR bool_and(verdict = 'SKIP') OVER () THEN 'BLOCK' ELSE 'ALLOW' END AS gate FROM v
 """)
 def baseline_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
-    value = F.round(F.avg("o_totalprice"), 4)
+    """FN19: the listed metrics against a baseline, each with its tolerance, and the one gate over all of them."""
+    orders = read(spark, sf_dir, "orders")
 
-    def year(y: int, without: str) -> DataFrame:
-        return orders.where((F.year("o_orderdate") == y) & (F.col("c_mktsegment") != without)).groupBy(F.col("c_mktsegment").alias("metric")).agg(value.alias("value"))
+    def scores(side: int) -> DataFrame:
+        aggs = [F.round(F.avg(F.when(F.year("o_orderdate") == spec[side], F.expr(f"CASE WHEN {spec[0]} THEN 1.0D ELSE 0.0D END"))), 4).alias(f"m{i}") for i, spec in enumerate(_METRICS.values())]
+        pairs = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(f"m{i}").alias("value")) for i, name in enumerate(_METRICS)])
+        return orders.agg(*aggs).select(F.inline(pairs))
 
-    return evaluation.gate(year(1998, "BUILDING"), year(1997, "MACHINERY"), 100)
+    return evaluation.gate(scores(1), scores(2), {"recall": 0.02, "precision": 0.5})
 
 
 @query("""

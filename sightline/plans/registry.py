@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import candidates, coverage, decisions, findings, graphs, joins, rules  # noqa: F401
+from . import authorization, candidates, coverage, decisions, findings, graphs, joins, rules  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "rule_scan_by_language"

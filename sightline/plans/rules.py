@@ -98,23 +98,3 @@ def dominant_package(spark: SparkSession, sf_dir: str) -> DataFrame:
 def identity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("identity"), "doc_id", "source")
     return docs.groupBy("identity").agg(F.min("doc_id").alias("representative"), F.count(F.lit(1)).alias("n_members"), F.count_distinct("source").alias("n_sources"))
-
-
-#: Flags above the base level of a protection level.
-PROTECTION_FLAGS = {16: "privileged", 32: "development", 64: "appop"}
-
-
-@query("""
-    WITH v AS (SELECT p_partkey, p_size * 3 AS bits FROM part)
-    SELECT p_partkey, CASE bits & 15 WHEN 0 THEN 'normal' WHEN 1 THEN 'dangerous' WHEN 2 THEN 'signature' ELSE 'unknown' END AS base,
-           concat_ws('|', CASE WHEN bits & 16 > 0 THEN 'privileged' END, CASE WHEN bits & 32 > 0 THEN 'development' END, CASE WHEN bits & 64 > 0 THEN 'appop' END) AS flags
-    FROM v
-""")
-def protection_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels written in hexadecimal: the low four bits are the base, the others flags."""
-    written = F.concat(F.lit("0x"), F.hex(F.col("p_size") * 3))
-    bits = F.conv(F.substring(F.col("written"), 3, 16), 16, 10).cast("int")
-    base = F.col("bits").bitwiseAND(F.lit(15))
-    flags = F.concat_ws("|", *[F.when(F.col("bits").bitwiseAND(F.lit(bit)) > 0, name) for bit, name in PROTECTION_FLAGS.items()])
-    levels = read(spark, sf_dir, "part").select("p_partkey", written.alias("written")).withColumn("bits", bits)
-    return levels.select("p_partkey", F.when(base == 0, "normal").when(base == 1, "dangerous").when(base == 2, "signature").otherwise("unknown").alias("base"), flags.alias("flags"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.protection import exported
+
 KINDS = ("activity", "service", "receiver", "provider")
 _COMPONENT = "array<struct<_name: string, _exported: string, _permission: string, `intent-filter`: array<struct<action: array<struct<_name: string>>>>>>"
 SCHEMA = f"_package string, `uses-sdk` struct<_targetSdkVersion: int>, application struct<_permission: string, {', '.join(f'{k}: {_COMPONENT}' for k in KINDS)}>"
@@ -15,13 +17,7 @@ def qualified(name: Column, package: Column) -> Column:
     return F.when(name.startswith("."), F.concat(package, name)).when(~name.contains("."), F.concat_ws(".", package, name)).otherwise(name)
 
 
-def exported(kind: Column, stated: Column, has_filter: Column, target_sdk: Column) -> Column:
-    """true, false or unknown. A stated value decides; without one, filters export, and old providers are exported."""
-    silent = F.when(kind == "provider", F.when(target_sdk.isNull(), "unknown").when(target_sdk < 17, "true").otherwise("false")).when(has_filter, "true").otherwise("false")
-    return F.when(stated.isin("true", "false"), stated).when(stated.isNotNull(), "unknown").otherwise(silent)
-
-
-def components(manifests: DataFrame, xml: str = "xml") -> DataFrame:
+def components(manifests: DataFrame, xml: str = "xml", platform: int = 36) -> DataFrame:
     """One row per component of each manifest: package, kind, name, exported, permission, n_actions. Malformed or null
     XML gives no rows."""
     parsed = manifests.select(F.from_xml(xml, SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("m")).where("m.application is not null")
@@ -33,6 +29,6 @@ def components(manifests: DataFrame, xml: str = "xml") -> DataFrame:
     actions = F.coalesce(F.size(F.flatten(F.transform("intent-filter", lambda f: F.coalesce(f["action"], F.array())))), F.lit(0))
     return rows.select(
         "package", "kind", qualified(F.col("_name"), F.col("package")).alias("name"),
-        exported(F.col("kind"), F.col("_exported"), filters > 0, F.col("sdk")).alias("exported"),
+        exported(F.col("kind"), F.col("_exported"), filters > 0, F.col("sdk"), F.lit(platform))["exported"].alias("exported"),
         F.coalesce("_permission", "default").alias("permission"), F.greatest(actions, F.lit(0)).alias("n_actions"),
     )
