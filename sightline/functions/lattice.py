@@ -22,7 +22,7 @@ def rank(status: Column, order: tuple[str, ...]) -> Column:
 
 
 def named(place: Column, order: tuple[str, ...]) -> Column:
-    return F.element_at(F.array(*map(F.lit, order)), place + 1)
+    return F.when(place.isNotNull(), F.get(F.array(*map(F.lit, order)), place))
 
 
 def least(status: Column, order: tuple[str, ...], none: str = "unknown") -> Column:
