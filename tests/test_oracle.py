@@ -1,6 +1,7 @@
 """Every query of the reference's own operators against its SQL in DuckDB."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from sightline.plans import registry
@@ -11,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("null" if v is None or v != v else f"{v:.4f}" if isinstance(v, float) else str(v) for v in row) for row in frame.astype(object).itertuples(index=False))
+    return sorted(tuple("null" if v is None or v is pd.NA or v != v else f"{v:.4f}" if isinstance(v, float) else str(v) for v in row) for row in frame.astype(object).itertuples(index=False))
 
 
 def same(spark, name, sf):
