@@ -34,9 +34,9 @@ def innermost(points: DataFrame, spans: DataFrame, key: str, at: str, point_id:
     """
     near = points.join(spans, key).where((F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end")))
     size = F.col("end").cast("double") - F.col("start").cast("double")
-    least = near.groupBy(point_id).agg(F.min(F.struct(size.alias("size"), F.col("span_id"))).alias("best"), F.min(size).alias("size"))
-    ties = near.withColumn("size", size).join(least.select(point_id, "size"), [point_id, "size"]).groupBy(point_id).agg(F.count(F.lit(1)).alias("n"))
-    best = least.join(ties, point_id).select(point_id, F.when(F.col("n") == 1, F.col("best.span_id")).alias("span_id"))
+    # The first and the last id of the shortest spans, in one aggregation: they differ where spans tie.
+    first, last = F.min(F.struct(size.alias("size"), "span_id")).getField("span_id"), F.max(F.struct((-size).alias("size"), "span_id")).getField("span_id")
+    best = near.groupBy(point_id).agg(first.alias("a"), last.alias("b")).select(point_id, F.when(F.col("a") == F.col("b"), F.col("a")).alias("span_id"))
     return points.join(best, point_id, "left")
 
 

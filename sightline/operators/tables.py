@@ -13,9 +13,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, the folder that driver and executors share; one of our own only where that is unset."""
+    """spark.checkpoint.dir, the folder that driver and executors share. Where it is unset, a local session gets a folder
+    of its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sightline-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")

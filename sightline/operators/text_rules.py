@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,10 @@ def first_of_equal(df: DataFrame, key: Column, order: str) -> DataFrame:
 
 
 def has_token(text: Column, terms: list[str]) -> Column:
-    """Whether the lower-cased text has one of the terms as a whole token of letters, digits, _ and $."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9_$]+)"), F.lit(1))
-    return F.arrays_overlap(tokens, F.array(*map(F.lit, terms)))
+    """Whether the lower-cased text has one of the terms as a whole token of letters, digits, _ and $. The text is read
+    once, without an array of its tokens."""
+    any_of = "|".join(re.escape(t) for t in terms)
+    return F.lower(text).rlike(rf"(?<![a-z0-9_$])(?:{any_of})(?![a-z0-9_$])")
 
 
 def has_word(text: Column, words: list[str]) -> Column:
