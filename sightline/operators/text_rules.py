@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +15,14 @@ def lines(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def hits(df: DataFrame, rules: dict[str, str], text: str = "text") -> DataFrame:
-    """A row for each line and rule whose pattern occurs in it: the other columns, line_no, rule_id."""
-    found = lines(df, text)
-    each = F.array(*[F.when(F.col("line").rlike(pattern), F.lit(rule)) for rule, pattern in rules.items()])
-    return found.select("*", F.explode(F.filter(each, lambda r: r.isNotNull())).alias("rule_id")).drop("line")
+    """A row for each line and rule whose pattern occurs in it: the other columns, line_no, rule_id (columns of these
+    names are replaced). Only texts in which some pattern occurs at all are cut into lines."""
+    names = [c for c in df.columns if c not in (text, "line_no", "rule_id")]
+    some = reduce(lambda a, b: a | b, [F.col(text).rlike(f"(?m){pattern}") for pattern in rules.values()])
+    cut = df.where(some).select(F.struct(*[f"`{c}`" for c in names]).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("at", "held"))
+    each = F.array(*[F.when(F.col("held").rlike(pattern), F.lit(rule)) for rule, pattern in rules.items()])
+    found = cut.select("row", "at", F.explode(F.filter(each, lambda r: r.isNotNull())).alias("rule_id"))
+    return found.select("row.*", (F.col("at") + 1).cast("long").alias("line_no"), "rule_id")
 
 
 def first_of_equal(df: DataFrame, key: Column, order: str) -> DataFrame:
