@@ -11,13 +11,12 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable
-from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_columns, text_of
+from .shared import in_worker, map_columns, text_of
 
 #: Entries kept by a task's cache of encoded pieces; it starts anew beyond that, so memory stays bounded.
 CACHE_ENTRIES = 300_000
@@ -211,7 +210,6 @@ class TextEncoder:
 CUTTABLE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=4)
 def _encoder(path: str, pattern: str) -> TextEncoder:
     return TextEncoder(load_ranks(path), pattern, pattern == CUTTABLE)
 
@@ -221,7 +219,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     kept = [c for c in docs.columns if c != "ids"]
 
     def make() -> Callable[[dict], dict]:
-        encoder = _encoder(path, pattern)
+        encoder = in_worker(_encoder, path, pattern)
         return lambda batch: batch | {"ids": [encoder.encode(t or "") for t in batch[text]]}
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema)
@@ -248,7 +246,7 @@ def digest_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def make() -> Callable[[dict], dict]:
-        encoder = _encoder(path, pattern)
+        encoder = in_worker(_encoder, path, pattern)
         table = encoder.encoder.token_bytes
         names = {i: str(i) for i in table}
 

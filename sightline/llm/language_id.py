@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_table, map_columns, text_of, unused, write_table
+from .shared import drop_table, let_go, map_columns, text_of, unused, write_table
 
 UNDETERMINED = "und"
 #: Rows to learn from in each language, at most (chosen by a hash of their doc_id; their whole texts are read). This
@@ -176,6 +176,7 @@ def predict(docs: DataFrame, model: Model, into: tuple[str, str, str] = ("lang_p
     kept = [c for c in docs.columns if c not in into]
 
     def make():
+        let_go()
         scorer = Scorer(shared.value)
 
         def work(batch: dict) -> dict:

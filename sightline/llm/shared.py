@@ -117,6 +117,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+_held: dict = {}
+
+
+def in_worker(build: Callable, *args) -> object:
+    """What build(*args) makes, kept by the Python worker for its next tasks. A worker holds one such thing at a time:
+    asking for another lets go of it first, since the stages of a job share their workers."""
+    if (build, args) not in _held:
+        let_go()
+        _held[build, args] = build(*args)
+    return _held[build, args]
+
+
+def let_go() -> None:
+    """Forget what in_worker keeps, before a stage loads a large model of its own."""
+    _held.clear()
+
+
 def map_columns(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Run a function over small column batches (dict of lists to dict of lists) inside Spark's tasks.
 

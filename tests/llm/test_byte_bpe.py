@@ -62,3 +62,20 @@ def test_real_ids_and_bytes_keep_other_columns(odd_documents):
     decoded = byte_bpe.decode_documents(encoded, PATH)
     assert set(odd_documents.columns) <= set(decoded.columns)
     assert all(bytes(r["data"]).decode() == (r["text"] or "") for r in decoded.collect())
+
+
+def test_a_worker_holds_one_encoder_at_a_time():
+    from sightline.llm import shared
+
+    made = []
+
+    def build(name):
+        made.append(name)
+        return [name]
+
+    first = shared.in_worker(build, "a")
+    assert shared.in_worker(build, "a") is first and made == ["a"]
+    shared.in_worker(build, "b")
+    assert len(shared._held) == 1 and shared.in_worker(build, "a") is not first
+    shared.let_go()
+    assert not shared._held
