@@ -47,4 +47,4 @@ def test_run_gives_the_rows_of_the_stages(spark):
 
 
 def test_every_operator_has_one_query():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
