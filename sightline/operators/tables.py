@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a key from which on it counts as hot.
+HOT_ROWS = 500
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,3 +33,27 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unused(taken: list[str], *names: str) -> tuple[str, ...]:
+    """The names, with underscores put before those that are taken already (in any case)."""
+    seen, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in seen:
+            name = "_" + name
+        seen.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
+def join_spread(rows: DataFrame, table: DataFrame, on: str, how: str = "inner", most: int = 100_000) -> DataFrame:
+    """rows joined with table, which has one row for each key at most (inner or left). Keys with many of the rows are
+    not dealt to one task: those with a share of over 1 / most of all rows, so most of them at most, go by broadcast."""
+    counts = rows.groupBy(on).agg(F.count(F.lit(1)).alias("n_of_key")).where(F.col("n_of_key") >= HOT_ROWS)
+    every = rows.count()
+    hot = written(counts.where(F.col("n_of_key") > every // most).join(table, on))
+    if hot.isEmpty():
+        return rows.join(table, on, how)
+    keys = F.broadcast(hot.select(on))
+    far = rows.join(keys, on, "left_anti").join(table, on, how)
+    return far.unionByName(rows.join(F.broadcast(hot.drop("n_of_key")), on))

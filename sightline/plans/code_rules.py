@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import code_rules
+from ..operators import brackets, code_rules
 from ..operators.tables import read
 from .base import query
 
@@ -27,6 +27,13 @@ SNIPPETS = [
     (['Log.d(TAG, "t" + token);', 'Log.i(TAG, "password");', 'Log.wtf(TAG, f(userPassword(x)));'], [("LOG_SENSITIVE_DATA", 2), ("LOG_SENSITIVE_DATA", 4)]),
     (['static final String API_KEY = "0123456789abcdef";', 'String token = "short";', '// String secret = "0123456789";'], [("HARDCODED_SECRET", 2)]),
     (["int x = 1;"], []),
+    (['String passwrd = "0123456789";', 'private static final', '  String AccessKey = "01234567" + x;'], [("HARDCODED_SECRET", 3)]),
+    (["void onReceivedSslError(WebView v, H h) { if (a) { if (b) { if (c) { if (d) { h.cancel(); } } } }", "h.proceed(); }", "void onReceivedSslError(WebView v, H h) {", "{ { { { h . proceed (); } } } } }"], [("WEBVIEW_SSL_ERROR_IGNORED", 2), ("WEBVIEW_SSL_ERROR_IGNORED", 4)]),
+    (["PendingIntent.getActivity(c, f(g(h(k(1)))), i, 0);", "PendingIntent.getActivity(c, f(g(h(k(1)))), i, FLAG_IMMUTABLE);", "PendingIntent.getActivity(c, 0, i, EXTRA_FLAG_IMMUTABLE_STATE);"], [("PENDING_INTENT_MUTABLE", 2), ("PENDING_INTENT_MUTABLE", 4)]),
+    (["Log.w(TAG, paymentInfo);", "Log.e(TAG, latitude);", "Log . i(TAG, f(g(h(k(userId)))));"], [("LOG_SENSITIVE_DATA", 2), ("LOG_SENSITIVE_DATA", 4)]),
+    (['String s = """', 'Log.d(TAG, token); " unpaired', '""";', "Log.d(TAG, deviceId);"], [("LOG_SENSITIVE_DATA", 5)]),
+    (["boolean verify(String h, S s) { if (x) { return true; } return false; }", "boolean verify(String h, S s) { return Boolean.TRUE; }"], [("HOSTNAME_VERIFIER_ALWAYS_TRUE", 3)]),
+    (["void checkServerTrusted(X c) { return ; }", "void checkServerTrusted(X c) { if (a) { } }"], [("TRUST_MANAGER_ALL_ACCEPT", 2)]),
 ]
 _N = len(SNIPPETS)
 _CODE = f"'class A {{' || chr(10) || CASE o_orderkey % {_N} " + " ".join(f"WHEN {i} THEN " + " || chr(10) || ".join(f"'{line}'" for line in lines) for i, (lines, _) in enumerate(SNIPPETS)) + " END || chr(10) || '}'"
@@ -39,6 +46,20 @@ def code_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_rules.hits(read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_CODE).alias("code")))
 
 
+_DEPTH = "o_orderkey % 21"
+_NESTED = f"""concat('void m() {{', chr(10), array_join(transform(sequence(0, CAST({_DEPTH} AS INT)), k -> concat('o', k, '.call', k, '(",(", ')), ''), 'z', repeat(')', CAST({_DEPTH} AS INT) + 1), ';', chr(10), '}}')"""
+
+
+@query(f"""
+    SELECT o_orderkey, 'm' AS name, '' AS owner, 1::BIGINT AS line, 1::BIGINT AS level, 1 AS n_arguments, '' AS first_argument FROM orders
+    UNION ALL SELECT o_orderkey, 'call' || k, 'o' || k, 2, 1 + k, 2, '",("' FROM orders, generate_series(0, {_DEPTH}) g(k)
+""")
+def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC2, SC3, SC9: call sites with their arguments, brackets being matched at any depth."""
+    found = brackets.call_sites(read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_NESTED).alias("code")))
+    return found.select("file.o_orderkey", "name", "owner", "line", F.col("level").cast("long").alias("level"), F.size("arguments").alias("n_arguments"), F.get("arguments", F.lit(0)).alias("first_argument"))
+
+
 _FACTS = "CASE o_orderkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'unknown' END AS allow_backup, CASE o_custkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'unknown' END AS cleartext"
 _APP = f"o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'true' WHEN o_orderkey % 9 = 1 THEN NULL ELSE 'false' END AS debuggable, {_FACTS}, CASE WHEN o_custkey % 8 = 0 THEN NULL ELSE 18 + o_orderkey % 17 END AS target_sdk, o_custkey % 3 = 0 AS has_backup_rules, o_custkey % 5 = 0 AS has_network_config"
 
