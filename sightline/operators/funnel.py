@@ -1,51 +1,44 @@
-"""Identity of candidates, groups of the same ones, and results handed from a representative to its group."""
+"""Groups of candidates that are the same, and results handed from a representative to its group."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEYS = ("scope_key", "chain_key", "fact_key")
-#: What makes candidates the same: where, along which chain, under which facts. Results of analyses are no part of it.
-PARTS = {
-    "scope": ("component", "component_name", "authorization_status"),
-    "chain": ("flow_kind", "receiver_text"),
-    "facts": ("guard_status", "dataflow_status"),
-}
+from .identity import KEYS, identified, semantic_keys
+from .tables import join_spread
 
+__all__ = ["KEYS", "groups", "identified", "propagated"]
 
-def canonical(label: str, fields: tuple[str, ...]) -> Column:
-    """One text of named fields in fixed order; null has a sign of its own."""
-    return F.concat_ws("|", F.lit(label), *[F.coalesce(F.col(f).cast("string"), F.lit("~")) for f in fields])
 
+def _order(member: str, locations: str | None) -> list[Column]:
+    """What makes a member represent its group: it needs an analysis, then the highest risk, most locations, largest id."""
+    places = F.greatest(F.size(locations), F.lit(0)) if locations else F.lit(0)
+    return [F.coalesce("needs", F.lit(False)).alias("needs"), F.coalesce("risk", F.lit(0)).alias("risk"), places.alias("places"), F.col(member)]
 
-def key(label: str) -> Column:
-    return F.sha2(canonical(label, PARTS[label]), 256)
 
-
-def identified(rows: DataFrame) -> DataFrame:
-    """Add scope_key, chain_key, fact_key and candidate_id."""
-    keyed = rows.withColumns({name: key(label) for name, label in zip(KEYS, PARTS, strict=True)})
-    made = F.sha2(F.concat(*KEYS, F.lit("|"), F.coalesce("rule_id", F.lit("~"))), 256)
-    return keyed.withColumn("candidate_id", F.concat(F.lit("candidate_"), F.substring(made, 1, 20)))
-
-
-def groups(rows: DataFrame, member: str) -> DataFrame:
-    """One row per identity: the keys, representative (needs an analysis, then highest risk, then largest id), its risk,
-    n_members and group_needs (whether a member that no guard blocks needs an analysis). One aggregation, which
-    collapses members before the shuffle."""
-    best = F.max(F.struct("needs", "risk", member))
-    found = rows.groupBy(*KEYS).agg(best.alias("best"), F.count(F.lit(1)).alias("n_members"), F.bool_or(F.col("needs") & ~F.col("guard_blocked")).alias("group_needs"))
+def groups(rows: DataFrame, member: str, locations: str | None = None) -> DataFrame:
+    """One row per identity: the keys, representative, its risk, n_members and group_needs (whether a member that no
+    guard blocks needs an analysis). One aggregation, which collapses members before the shuffle. Null keys are keys."""
+    best = F.max(F.struct(*_order(member, locations)))
+    found = rows.groupBy(*KEYS).agg(best.alias("best"), F.count(F.lit(1)).alias("n_members"), F.bool_or(F.coalesce(F.col("needs") & ~F.coalesce("guard_blocked", F.lit(False)), F.lit(False))).alias("group_needs"))
     return found.select(*KEYS, F.col(f"best.{member}").alias("representative"), F.col("best.risk").alias("risk"), "n_members", "group_needs")
 
 
-def propagated(rows: DataFrame, member: str, result: str) -> DataFrame:
-    """Rows with the result of their group's representative and result_source (null for the representative itself).
-    Recorded keys that a recomputation does not confirm keep a row out: it keeps its own result."""
-    best = rows.groupBy(*KEYS).agg(F.max(F.struct("needs", "risk", member, result)).alias("best"))
-    sound = rows.join(best, list(KEYS)).withColumn("sound", F.lit(True))
-    for name, label in zip(KEYS, PARTS, strict=True):
-        sound = sound.withColumn("sound", F.col("sound") & (F.col(name) == key(label)))
-    chosen = F.when(F.col("sound"), F.col(f"best.{result}")).otherwise(F.col(result))
-    source = F.when(F.col("sound") & (F.col(f"best.{member}") != F.col(member)), F.col(f"best.{member}"))
-    return sound.withColumns({"representative": F.col(f"best.{member}"), result: chosen, "result_source": source}).drop("best", "sound")
+def propagated(rows: DataFrame, member: str, result: str, locations: str | None = None, leave_out: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with representative, the representative's result, and result_source (null where the own result stays).
+
+    rows carry the keys that were recorded with them. They are computed anew: a row whose recorded keys differ from its
+    own keeps its result, and a representative whose keys differ hands nothing on. Members of large groups are not dealt
+    to one task.
+    """
+    now = dict(zip(("scope_now", "chain_now", "fact_now"), semantic_keys(rows, (member, *leave_out)), strict=True))
+    keyed = rows.withColumns(now).withColumn("identity_of_row", F.concat_ws(":", *[F.coalesce(k, F.lit("~")) for k in KEYS]))
+    sound = (F.col("scope_key") == F.col("scope_now")) & (F.col("chain_key") == F.col("chain_now")) & (F.col("fact_key") == F.col("fact_now"))
+    keyed = keyed.withColumn("sound_row", F.coalesce(sound, F.lit(False))).drop(*now)
+    best = keyed.groupBy("identity_of_row").agg(F.max(F.struct(*_order(member, locations), F.col(result), F.col("sound_row"))).alias("best_of_row"))
+    joined = join_spread(keyed, best, "identity_of_row")
+    handed = F.col("sound_row") & F.col("best_of_row.sound_row") & (F.col(f"best_of_row.{member}") != F.col(member))
+    return joined.withColumns({
+        "representative": F.col(f"best_of_row.{member}"), result: F.when(handed, F.col(f"best_of_row.{result}")).otherwise(F.col(result)), "result_source": F.when(handed, F.col(f"best_of_row.{member}")),
+    }).drop("identity_of_row", "best_of_row", "sound_row")

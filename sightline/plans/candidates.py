@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lattice
-from ..operators import decision, funnel
+from ..operators import decision
 from ..operators.tables import read
 from .base import query
 
@@ -242,37 +242,3 @@ def status_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
         lattice.review(F.col("status")).alias("review_status"), lattice.one_or_mixed(F.col("evidence_decision"), "unresolved").alias("evidence_decision"),
         lattice.rank(lattice.strongest(F.col("dataflow_status"), flows), flows).alias("best_flow"),
     )
-
-
-_IDENTITY = """i AS (SELECT *, sha256('scope|' || coalesce(component, '~') || '|' || coalesce(component_name, '~') || '|' || coalesce(authorization_status, '~')) AS scope_key,
-        sha256('chain|' || coalesce(flow_kind, '~') || '|' || coalesce(receiver_text, '~')) AS chain_key,
-        sha256('facts|' || coalesce(guard_status, '~') || '|' || coalesce(dataflow_status, '~')) AS fact_key FROM {})"""
-
-
-@query(f"""WITH {SQL}, {_IDENTITY.format('c')} SELECT candidate, 'candidate_' || substr(sha256(scope_key || chain_key || fact_key || '|' || coalesce(rule_id, '~')), 1, 20) AS candidate_id, scope_key, chain_key, fact_key FROM i""")
-def funnel_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN1, SC19, SP39: the three keys that make candidates the same, and an id made of them."""
-    return funnel.identified(candidates(spark, sf_dir)).select("candidate", "candidate_id", "scope_key", "chain_key", "fact_key")
-
-
-_GROUPED = f"""WITH {SQL}, d AS (SELECT *, {_DISPOSITION} AS disposition FROM c), a AS (SELECT *, {_REQUIRES} AS needs, greatest(coalesce(risk_score, 0), review_priority)::BIGINT AS risk FROM d), {_IDENTITY.format('a')},
-    w AS (SELECT *, row_number() OVER same AS place, count(*) OVER (PARTITION BY scope_key, chain_key, fact_key) AS n_members,
-                 bool_or(needs AND NOT guard_blocked) OVER (PARTITION BY scope_key, chain_key, fact_key) AS group_needs, first(candidate) OVER same AS representative,
-                 first(severity_hint) OVER same AS result
-          FROM i WINDOW same AS (PARTITION BY scope_key, chain_key, fact_key ORDER BY needs DESC, risk DESC, candidate DESC))"""
-
-
-@query(_GROUPED + " SELECT representative, n_members, group_needs, risk, count(*) OVER () AS n_groups FROM w WHERE place = 1")
-def funnel_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG8, AG9: candidates grouped by their three keys, with the member that represents each group."""
-    rows = candidates(spark, sf_dir).withColumn("disposition", decision.disposition()).withColumn("needs", decision.requires_ai(F.col("disposition")))
-    groups = funnel.groups(funnel.identified(rows.withColumn("risk", decision.risk().cast("long"))), "candidate")
-    return groups.crossJoin(F.broadcast(groups.agg(F.count(F.lit(1)).alias("n_groups")))).select("representative", "n_members", "group_needs", "risk", "n_groups")
-
-
-@query(_GROUPED + " SELECT candidate, representative, CASE WHEN n_members > 1 THEN result ELSE severity_hint END AS result, CASE WHEN candidate <> representative THEN representative END AS result_source FROM w")
-def funnel_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG10: the representative's result is handed to the members whose recomputed keys still agree."""
-    rows = candidates(spark, sf_dir).withColumn("disposition", decision.disposition()).withColumn("needs", decision.requires_ai(F.col("disposition")))
-    rows = funnel.identified(rows.withColumn("risk", decision.risk().cast("long")))
-    return funnel.propagated(rows, "candidate", "severity_hint").select("candidate", "representative", F.col("severity_hint").alias("result"), "result_source")
