@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import Steps, written
 
 
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
@@ -24,6 +24,23 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFr
     return seen
 
 
+def reach_scoped(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """scope, vertex, depth: what the seeds (scope, vertex) of each scope reach, for all scopes in one run of rounds. Rows of
+    seeds and edges with nulls are left out. What was seen is written anew every few rounds, so plans stay short."""
+    steps = Steps(edges.sparkSession)
+    edges = steps.put(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
+    seen = steps.put(seeds.select("scope", "vertex").where("scope is not null and vertex is not null").distinct().withColumn("depth", F.lit(0).cast("long")))
+    frontier, depth = seen, 0
+    while (most is None or depth < most) and not frontier.isEmpty():
+        depth += 1
+        found = frontier.join(edges, F.col("vertex") == F.col("src")).select("scope", F.col("dst").alias("vertex")).distinct()
+        frontier = steps.put(found.join(seen, ["scope", "vertex"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        seen = seen.unionByName(frontier)
+        if depth % 8 == 0:
+            seen = steps.put(seen)
+    return steps.result(seen)
+
+
 def reach_back(edges: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     """vertex, depth: the vertices from which targets are reached within so many edges."""
     return reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), targets, most)

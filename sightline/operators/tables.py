@@ -35,6 +35,28 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Tables written on the way of a loop, deleted once its result is written as one table."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/step-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        out = written(df)
+        jvm = self.spark._jvm
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
+        return out
+
+
 def unused(taken: list[str], *names: str) -> tuple[str, ...]:
     """The names, with underscores put before those that are taken already (in any case)."""
     seen, out = {c.lower() for c in taken}, []
