@@ -1,7 +1,7 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block of text. What the tags say about a line is its weight: text of links,
-and text in menus, footers, adverts and the like, weighs nothing; text in an article element weighs more than its
+and text in menus, footers, adverts and the like, weighs nothing; text in an article element weighs a multiple of its
 length. The weights of lines are summed over sliding windows; where the sum surges a text begins, where it dives to
 nothing it ends, and the lines between are kept.
 """
@@ -23,6 +23,8 @@ from .shared import map_columns
 WINDOW = 3
 #: Weight in a window at which a text begins; a page with less everywhere begins at its largest window.
 SURGE = 40
+#: Times that a character in an article element (or else in main) weighs, where the page has one.
+MARKED = 10
 
 _name = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _hint = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -37,7 +39,12 @@ CONTAINERS = frozenset("article blockquote body center dd details div fieldset f
 #: Blocks that are text themselves, whatever their class is called.
 TEXT_BLOCKS = frozenset("html body main p h1 h2 h3 h4 h5 h6 pre blockquote figcaption caption td th tr table tbody".split())
 #: Words of class, id and role that mark text outside the article, and words that say nothing.
-HINTS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer comment comments disqus reply replies cookie cookies consent notice notification newsletter subscribe subscription signup login share sharing social related recommended popup modal toolbar widget pagination pager skip complementary contentinfo search".split())
+HINTS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent notice notification newsletter subscribe subscription signup login share sharing social related recommended popup modal toolbar widget pagination pager skip complementary contentinfo search".split())
+#: Words that mark what readers wrote, in whatever company; those that do so outside an article alone; and
+#: words beside them that only tell whether readers may write.
+READERS = frozenset("comment comments commentlist commentary disqus reply replies respond".split())
+READERS_OUTSIDE = frozenset("discussion discussions responses reactions".split())
+ALLOWED = frozenset("open opened closed enabled disabled allowed no has with without".split())
 NEUTRAL = frozenset("area areas bar bars block blocks bottom box boxes button buttons container form forms group header holder icon icons inner item items left link links list lists main outer page panel panels post posts region right section sections site slot slots thread threads top unit units wrap wrapper".split())
 
 
@@ -111,20 +118,20 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         yield begin, at, name, ends, rest
 
 
-def _outside(name: str, rest: str, in_article: bool) -> bool:
-    """Whether an element is outside the main text by its name, or by what its attributes say."""
-    if name in OUTSIDE or name == "header" and not in_article:
-        return True
+def _outside(name: str, rest: str, in_article: bool) -> str:
+    """Whether an element is outside the main text, by its name or by what its attributes say: "readers" for what readers
+    wrote, "other", or "" for an element that may hold main text."""
     if name in TEXT_BLOCKS or not rest:
-        return False
-    if _hidden.search(rest):
-        return True
+        return "other" if name in OUTSIDE or name == "header" and not in_article else ""
+    found = "other" if name in OUTSIDE or name == "header" and not in_article or _hidden.search(rest) else ""
     for hint in _hint.findall(rest):
         for token in hint.strip("\"'").lower().split():
             words = [w for w in re.split(r"[^a-z]+", token) if w]
+            if ALLOWED.isdisjoint(words) and not (READERS.isdisjoint(words) and (in_article or READERS_OUTSIDE.isdisjoint(words))):
+                return "readers"
             if not HINTS.isdisjoint(words) and all(w in HINTS or w in NEUTRAL for w in words):
-                return True
-    return False
+                found = "other"
+    return found
 
 
 def _blocks(page: str) -> list[_Block | None]:
@@ -134,6 +141,7 @@ def _blocks(page: str) -> list[_Block | None]:
     held: list[str] = []
     linked = 0  # characters of links in held, without white space
     mask: list[str] = []  # open elements since a region outside the main text began
+    why = ""  # it began
     parents: list[tuple[str, int]] = [("", 0)]
     open_: Counter = Counter()  # the names in parents
     masked: Counter = Counter()  # the names in mask
@@ -189,8 +197,8 @@ def _blocks(page: str) -> list[_Block | None]:
                 continue
             if name == "body" and mask[0] == "head":
                 leave()
-            elif name in ("article", "main") and mask[0] not in ("footer", "aside", "form", "dialog", "menu", "button"):
-                leave()  # the region was never closed
+            elif name in ("article", "main") and why != "readers" and mask[0] not in ("footer", "aside", "form", "dialog", "menu", "button"):
+                leave()  # the region was never closed; what readers wrote may be articles of its own
             elif mask == ["p"] and name in BLOCKS:
                 leave()
             else:
@@ -208,7 +216,7 @@ def _blocks(page: str) -> list[_Block | None]:
                 while (last := parents.pop()[0]) != name:
                     open_[last] -= 1
                 open_[name] -= 1
-        elif not alone and (block or rest) and _outside(name, rest, place() == 2):
+        elif not alone and (block or rest) and (why := _outside(name, rest, place() == 2)):
             close()
             hide(name)
         elif not alone and name in CONTAINERS:
@@ -223,9 +231,9 @@ def _blocks(page: str) -> list[_Block | None]:
     return blocks
 
 
-def lines_of(page: str, window: int = WINDOW, surge: int = SURGE) -> list[Line]:
+def lines_of(page: str, window: int = WINDOW) -> list[Line]:
     """The lines of a page with their weights. If a part of the page is marked as the article (or else as main), lines
-    elsewhere are empty and lines in it weigh a surge each. A region outside the main text is one empty line where the
+    elsewhere are empty and lines in it weigh MARKED times as much; lines of links weigh nothing there too. A region outside the main text is one empty line where the
     text goes on in the same element, and a window of empty lines elsewhere."""
     blocks = _blocks(page)
     best = max((b.place for b in blocks if b), default=0)
@@ -238,7 +246,7 @@ def lines_of(page: str, window: int = WINDOW, surge: int = SURGE) -> list[Line]:
         if regions:
             lines += [Line("", 0)] * (1 if block.parent == parent else window)
         parent, regions = block.parent, 0
-        lines.append(Line("", 0) if block.place < best else Line(block.text, block.weight + (surge if best else 0)))
+        lines.append(Line("", 0) if block.place < best else Line(block.text, block.weight * (MARKED if best else 1)))
     return lines
 
 
@@ -271,7 +279,7 @@ def between(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The kept lines of a page in page order, joined by line ends; empty if it has none."""
-    return "\n".join(between(lines_of(page, window, surge), window, surge))
+    return "\n".join(between(lines_of(page, window), window, surge))
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:

@@ -3,6 +3,8 @@ import random
 import re
 import time
 
+import pytest
+
 from sightline.llm import html_text
 
 from .conftest import SF
@@ -126,3 +128,36 @@ def test_broken_markup_takes_linear_time():
     for piece in ("<a ", "<a '", '<a title="', "<!", "<!-- ", "<p <", "</", "<script ", "<a b='>", "<style>", '<p x="\'>', "<div class=ad>", "<div>x", "<div class=ad></p>"):
         html_text.main_text(piece * (600_000 // len(piece)))
     assert time.time() - began < 60
+
+
+MAIN = "Main text of this article is here and long enough."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><p>{}</p><section class='comments'><article><p>Reader one.</p></article><p>Second.</p></section></article>",
+        "<article><p>{}</p></article><section class='comments'><article><p>Reader one.</p></article><p>Second.</p></section>",
+        "<article><p>{}</p></article><div id='comments' class='comments-area'><ol><li><article class='comment-body'><p>Reader.</p></article></li></ol></div>",
+        "<article><p>{}</p></article><div class='user-comments'><p>Reader.</p></div>",
+        "<article><p>{}</p></article><div class='discussion'><article class='post'><p>Reader.</p></article></div>",
+        "<article class='post comments-open'><p>{}</p><div class='comment-reply-title'>Leave a reply</div></article>",
+        "<div class='nav'><a href='x'>Home</a><article><p>{}</p></article>",
+        "<p>{}</p><div id='respond' class='comment-respond'><p>Reader.</p></div>",
+    ],
+)
+def test_what_readers_wrote_is_no_main_text(page):
+    assert html_text.main_text(page.format(MAIN)) == MAIN
+
+
+def test_a_discussion_inside_the_article_stays():
+    assert html_text.main_text(f"<article><p>{MAIN}</p><section class='discussion'><p>So it is.</p></section></article>") == f"{MAIN}\nSo it is."
+
+
+def test_windows_cut_inside_the_article():
+    """Lines of links weigh nothing in an article too: as many as a window end the text, fewer go along with it."""
+    links = "".join(f"<p><a href='{i}'>More about this {i}</a></p>" for i in range(6))
+    page = f"<article><p>{MAIN}</p>{links}</article>"
+    assert html_text.main_text(page) == MAIN != "\n".join(line.text for line in html_text.lines_of(page))
+    assert html_text.main_text(f"<article><p>{MAIN}</p><p><a href='1'>One</a></p><p>{MAIN}</p></article>") == f"{MAIN}\nOne\n{MAIN}"
+    assert html_text.main_text(f"<article><p>{MAIN}</p><aside>Ad</aside><div><p>End.</p></div></article>") == f"{MAIN}\nEnd."
