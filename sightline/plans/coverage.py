@@ -104,8 +104,33 @@ def sink_argument_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.fillna(False, ["call_site_exists", "argument_constant"]).fillna(0, ["n_unresolved"])
 
 
-@query()
+_TURNS = "t AS (SELECT conv_id, turn, length(text)::BIGINT AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)"
+
+
+@query(f"""WITH RECURSIVE {_TURNS},
+    g AS (SELECT conv_id, turn, cost, k, cost <= 600 AS admitted, CASE WHEN cost <= 600 THEN cost ELSE 0 END AS used FROM t WHERE k = 1
+        UNION ALL SELECT t.conv_id, t.turn, t.cost, t.k, g.used + t.cost <= 600, g.used + CASE WHEN g.used + t.cost <= 600 THEN t.cost ELSE 0 END FROM g JOIN t ON t.conv_id = g.conv_id AND t.k = g.k + 1)
+    SELECT conv_id, turn, cost AS n_chars, admitted, used::BIGINT AS used FROM g
+""")
 def context_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of each conversation that fit into its budget; a rejected turn costs nothing."""
+    """WN6: turns of each conversation that fit into its budget; a rejected turn costs nothing."""
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("n_chars"))
     return admission.greedy(turns, "conv_id", "turn", "n_chars", 600)
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn, turn % 5 AS priority, ceil(length(text) / 4)::BIGINT AS cost FROM conversations),
+    m AS (SELECT conv_id, coalesce(sum(cost) FILTER (priority <= 1), 0) AS core, count(*) FILTER (priority <= 1) AS n_core FROM t GROUP BY 1),
+    o AS (SELECT t.*, 300 - core AS room, 4 - n_core AS places, row_number() OVER (PARTITION BY conv_id ORDER BY priority, turn) AS k FROM t JOIN m USING (conv_id) WHERE priority > 1 AND core <= 300 AND n_core <= 4),
+    g AS (SELECT conv_id, turn, k, room, places, CASE WHEN places <= 0 THEN 'context_count_budget' WHEN cost > room THEN 'input_token_budget' END AS reason,
+                 CASE WHEN places > 0 AND cost <= room THEN cost ELSE 0 END AS used, CASE WHEN places > 0 AND cost <= room THEN 1 ELSE 0 END AS n FROM o WHERE k = 1
+        UNION ALL SELECT o.conv_id, o.turn, o.k, o.room, o.places, CASE WHEN g.n >= o.places THEN 'context_count_budget' WHEN g.used + o.cost > o.room THEN 'input_token_budget' END,
+                 g.used + CASE WHEN g.n < o.places AND g.used + o.cost <= o.room THEN o.cost ELSE 0 END, g.n + CASE WHEN g.n < o.places AND g.used + o.cost <= o.room THEN 1 ELSE 0 END
+          FROM g JOIN o ON o.conv_id = g.conv_id AND o.k = g.k + 1)
+    SELECT t.conv_id, t.turn, reason IS NULL AS selected, reason,
+           CASE WHEN core > 300 OR n_core > 4 THEN 'cannot_trim_safely' WHEN bool_or(reason IS NOT NULL) OVER (PARTITION BY t.conv_id) THEN 'trimmed' ELSE 'within_budget' END AS status
+    FROM t JOIN m USING (conv_id) LEFT JOIN g ON g.conv_id = t.conv_id AND g.turn = t.turn
+""")
+def context_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SO6: turns of each conversation by rank: the first two ranks whole or not at all, the others while they fit."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") % 5).alias("priority"), F.ceil(F.length("text") / 4).alias("cost"))
+    return admission.contexts(turns, "conv_id", "priority", "turn", "cost", 300, 4).select("conv_id", "turn", "selected", "reason", "status")
