@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .shared import in_worker, map_columns, text_of
 
 #: Entries kept by a task's cache of encoded pieces; it starts anew beyond that, so memory stays bounded.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 #: Pieces kept beside the stretches, most of which are one piece.
 PIECE_ENTRIES = 100_000
 
