@@ -17,6 +17,10 @@ c = F.col
 PROTECTED = ("protected", "strongly_protected")
 UNREACHABLE = ("not_reachable", "unreachable", "internal_only", "not_exported")
 TERMINAL_REVIEW = ("confirmed", "manual_false_positive")
+#: Premises of a rule, one of which being false refutes it; verdicts of an analysis against a candidate; gaps
+#: of targets that only a run shows; codes of severities, bases and gaps.
+PREMISES = ("rule_predicate_satisfied", "rule_premise_valid", "rule_precondition_verified")
+REFUTING = ("negative", "refutation", "refuted", "refutes_candidate")
 #: Impact ceilings of closed chains by rule.
 CEILING = {"SERVICE_BINDER_CALLER_CHECK_MISSING": "high", "PROVIDER_CALLER_CHECK_MISSING": "high", "PROVIDER_UNAUTHORIZED_QUERY": "medium"}
 LOW_IF_UNREGISTERED = ("ACTIVITY_EXTERNAL_ROUTE_INJECTION", "ACTIVITY_INTENT_TO_SENSITIVE_SINK", "SERVICE_IPC_INPUT_TO_SINK")
@@ -77,7 +81,7 @@ def refutation_bases() -> Column:
         ("not_reachable", c("reachability_status").isin(*UNREACHABLE)),
         ("sender_unreachable", ~c("sender_reachable")),
         ("in_process_terminus", (c("flow_kind") == "control_to_sink") & ~has_code("blocking_gaps", "CONTROL_SCOPE_UNRESOLVED")),
-        ("rule_premise_refuted", ~c("rule_premise_valid")),
+        ("rule_premise_refuted", reduce(lambda a, b: a | b, [yes(~c(p)) for p in PREMISES])),
         ("no_real_sink", yes(~c("real_sink_verified")) | (yes(c("evidence_level") == "L2") & no_sinks & ~yes(c("chain_verified")))),
         ("local_broadcast_intra_process", F.exists("sinks", lambda s: yes(s["receiver_text"].rlike(local))) | yes(c("input_control") == "local_broadcast_isolated")),
     ]
@@ -148,36 +152,76 @@ def coverage_allows(gaps: str, claim: str, explicit: Column | None = None) -> Co
     return found if explicit is None else F.coalesce(explicit, found)
 
 
-def severity() -> Column:
-    """The order of the cases matters; hints count only at the end and are capped where the impact is only potential."""
+def confirmed_bases() -> Column:
+    """The bases that an analysis names against a candidate (refutation_basis: an array), if deterministic facts confirm
+    every one of them, else an empty array. An unknown basis, a fact that is missing, or no facts at all confirm nothing.
+
+    Reads deterministic_facts (a struct of value_flow_reaches_sink_argument, sender_reachable, guard_status and
+    authorization_status), guard_status, exported, provider_exported, target_registered, target_fixed, argument_constant,
+    call_site_exists. Coverage is asked elsewhere: see refuting.
+    """
+    fact = lambda name: c("deterministic_facts").getField(name)
+    tests = {
+        "in_process_terminus": ~fact("value_flow_reaches_sink_argument"), "sender_unreachable": ~fact("sender_reachable"),
+        "guard_fail_closed": yes(fact("guard_status") == "present_effective") | yes(c("guard_status") == "present_effective"),
+        "non_exported_provider": yes(fact("authorization_status").isin(*PROTECTED)) | yes(~c("exported")) | yes(~c("provider_exported")),
+        "fixed_local_target": yes(c("target_registered")) & yes(c("target_fixed")), "constant_sink_argument": c("argument_constant"), "no_real_call_site": ~c("call_site_exists"),
+    }
+    named = F.filter(F.coalesce("refutation_basis", F.array().cast("array<string>")), lambda b: ~blank(F.trim(b)))
+    holds = lambda b: reduce(lambda a, x: a | x, [(b == code) & yes(test) for code, test in tests.items()])
+    sound = c("deterministic_facts").isNotNull() & F.forall(named, holds)
+    return F.when(sound, named).otherwise(F.array().cast("array<string>"))
+
+
+def refuting(negative: Column) -> Column:
+    """The bases against a candidate that count: the deterministic ones as far as coverage allows the negative proof (else
+    only what the platform's meaning settles), and without any those that an analysis names and facts confirm."""
+    bases = refutation_bases()
+    allowed = F.when(negative, bases).otherwise(F.filter(bases, lambda b: b == "local_broadcast_intra_process"))
+    return F.when((F.size(allowed) == 0) & negative, confirmed_bases()).otherwise(allowed)
+
+
+def conflict(bases: Column) -> Column:
+    """Whether an analysis contradicts itself: it refutes and yet says that the flaw holds, with no basis to settle it. That
+    is a critical gap of its own (AI_VERDICT_FLAW_CONFLICT)."""
+    return yes(c("verdict").isin(*REFUTING)) & yes(c("flaw_holds")) & (F.size(bases) == 0)
+
+
+def severity(conflicting: Column | None = None) -> Column:
+    """struct(severity, reason). The order of the cases matters; hints count only at the end and are capped where the
+    impact is only potential. Gaps of the chain, of coverage and of the analysis count alike (ai_blocking_gaps), and so
+    does an analysis at odds with itself. A null evidence_level counts as L1."""
     verified, flow, rule = yes(c("chain_verified")), F.coalesce("dataflow_status", F.lit("not_proven")), c("rule_id")
     auth, guard = F.coalesce("authorization_status", F.lit("unknown")), F.coalesce("guard_status", F.lit("unknown"))
     hint = F.when(c("severity_hint").isin(*[s for s in SEVERITY if s != "informational"]), c("severity_hint")).otherwise("pending")
     capped = F.when(flow.isin("intraprocedural", "interprocedural"), "medium").otherwise("pending")
     ceiling = F.try_element_at(F.create_map(*[F.lit(x) for pair in CEILING.items() for x in pair]), F.coalesce(rule, F.lit("")))
+    open_ = has_critical("blocking_gaps") | has_critical("ai_blocking_gaps") | has_critical("coverage_gaps") | (F.lit(False) if conflicting is None else conflicting)
+    made = lambda value, reason: F.struct((F.lit(value) if isinstance(value, str) else value).alias("severity"), F.lit(reason).alias("reason"))
     return cascade(
         [
-            (c("evidence_decision").isin("ai_false_positive", "deterministically_refuted"), "informational"),
-            (c("evidence_decision") == "blocked", "pending"),
-            (F.coalesce("evidence_level", F.lit("L1")) == "L1", "informational"),
-            (has_critical("blocking_gaps") | has_critical("coverage_gaps"), "pending"),
-            (flow == "not_proven", "pending"),
-            (c("analysis_status").isin("ai_failed", "ai_skipped") & ~verified, "pending"),
-            (guard == "present_effective", "informational"),
-            (auth.isin(*PROTECTED), "informational"),
-            (auth == "unknown", "pending"),
-            (guard.isin("unknown", "present_partial"), "pending"),
-            (verified & ceiling.isNotNull(), ceiling),
-            (verified & yes(~c("target_registered")) & rule.isin(*LOW_IF_UNREGISTERED), "low"),
-            ((F.coalesce("impact_status", F.lit("potential")) == "potential") & hint.isin("critical", "high"), capped),
+            (c("evidence_decision") == "ai_false_positive", made("informational", "refuted_by_analysis_and_facts")),
+            (c("evidence_decision") == "deterministically_refuted", made("informational", "refuted_by_facts")),
+            (c("evidence_decision") == "blocked", made("pending", "guard_blocks_chain")),
+            (F.coalesce("evidence_level", F.lit("L1")) == "L1", made("informational", "surface_only")),
+            (open_, made("pending", "critical_gap")),
+            (flow == "not_proven", made("pending", "dataflow_not_proven")),
+            (c("analysis_status").isin("ai_failed", "ai_skipped") & ~verified, made("pending", "analysis_not_done")),
+            (guard == "present_effective", made("informational", "effective_guard")),
+            (auth.isin(*PROTECTED), made("informational", "protected")),
+            (auth == "unknown", made("pending", "authorization_unknown")),
+            (guard.isin("unknown", "present_partial"), made("pending", "guard_not_proven")),
+            (verified & ceiling.isNotNull(), made(ceiling, "calibrated_ceiling")),
+            (verified & yes(~c("target_registered")) & rule.isin(*LOW_IF_UNREGISTERED), made("low", "calibrated_ceiling")),
+            ((F.coalesce("impact_status", F.lit("potential")) == "potential") & hint.isin("critical", "high"), made(capped, "impact_potential")),
         ],
-        hint,
+        made(hint, "proven_flow_and_boundary"),
     )
 
 
 def evidence_decision(bases: Column) -> Column:
     """What the evidence says, given the deterministic bases against the candidate (only those that coverage allows)."""
-    verdict, refutes = c("verdict"), yes(c("verdict").isin("negative", "refutation", "refuted", "refutes_candidate"))
+    verdict, refutes = c("verdict"), yes(c("verdict").isin(*REFUTING))
     valid, partly = blank(c("contract_failure")), blank(c("joint_failure"))
     likely = yes(c("flaw_holds")) & yes(c("entry_reachable"))
     proven = c("dataflow_status").isin("intraprocedural", "interprocedural", "verified")

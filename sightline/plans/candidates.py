@@ -43,8 +43,22 @@ FIELDS = {
     "consumer_semantics": pick(f"{K} % 29", "statistics", None, None, None, None),
     "input_control": pick(f"{K} % 41", "local_broadcast_isolated", *[None] * 19),
     "sender_reachable": f"CASE {K} % 37 WHEN 0 THEN FALSE WHEN 1 THEN TRUE ELSE NULL END",
-    "call_site_exists": f"CASE {K} % 3 WHEN 0 THEN TRUE ELSE NULL END",
+    "call_site_exists": f"CASE {K} % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE NULL END",
     "rule_premise_valid": f"CASE {C} % 43 WHEN 0 THEN FALSE ELSE NULL END",
+    "rule_predicate_satisfied": f"CASE {C} % 53 WHEN 1 THEN FALSE WHEN 2 THEN TRUE ELSE NULL END",
+    "rule_precondition_verified": f"CASE {K} % 61 WHEN 1 THEN FALSE WHEN 2 THEN TRUE ELSE NULL END",
+    "ai_gap": pick(f"{K} % 83", *[None] * 6, "HARM_NOT_PROVEN"),
+    "ai_gap_critical": f"CASE {C} % 4 WHEN 0 THEN NULL WHEN 1 THEN FALSE ELSE TRUE END",
+    "named_basis": pick(f"{K} % 89 + {C}", None, "in_process_terminus", "sender_unreachable", "guard_fail_closed", "non_exported_provider", "fixed_local_target", "constant_sink_argument", "no_real_call_site", "made_up"),
+    "second_basis": pick(f"{C} % 97", None, None, None, "constant_sink_argument", ""),
+    "has_facts": f"{K} % 7 > 0",
+    "reaches_argument": f"CASE {C} % 5 WHEN 0 THEN FALSE WHEN 1 THEN TRUE ELSE NULL END",
+    "fact_guard": pick(f"{K} % 11", "present_effective", "absent", None),
+    "fact_authorization": pick(f"{K} % 13", "protected", None, "unknown"),
+    "exported": f"CASE {K} % 9 WHEN 0 THEN FALSE ELSE TRUE END",
+    "provider_exported": f"CASE {C} % 17 WHEN 0 THEN FALSE ELSE NULL END",
+    "target_fixed": f"{C} % 2 = 0",
+    "argument_constant": f"CASE {K} % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE NULL END",
     "real_sink_verified": f"CASE {K} % 47 WHEN 0 THEN FALSE WHEN 1 THEN TRUE ELSE NULL END",
     "receiver_text": pick(f"{K} % 53", *["this"] * 5, "LocalBroadcastManager.get(x)", "EventBusUtils", "EventBus", None, None),
     "high_value": f"{C} % 2 = 0",
@@ -81,7 +95,7 @@ _BASES = f"""list_filter([
     CASE WHEN reachability_status IN ('not_reachable', 'unreachable', 'internal_only', 'not_exported') THEN 'not_reachable' END,
     CASE WHEN sender_reachable = FALSE THEN 'sender_unreachable' END,
     CASE WHEN flow_kind = 'control_to_sink' AND coalesce(gap, '') <> 'CONTROL_SCOPE_UNRESOLVED' THEN 'in_process_terminus' END,
-    CASE WHEN rule_premise_valid = FALSE THEN 'rule_premise_refuted' END,
+    CASE WHEN rule_premise_valid = FALSE OR rule_predicate_satisfied = FALSE OR rule_precondition_verified = FALSE THEN 'rule_premise_refuted' END,
     CASE WHEN real_sink_verified = FALSE OR (evidence_level = 'L2' AND receiver_text IS NULL AND NOT coalesce(chain_verified, FALSE)) THEN 'no_real_sink' END,
     CASE WHEN receiver_text IN ('LocalBroadcastManager.get(x)', 'EventBus') OR input_control = 'local_broadcast_isolated' THEN 'local_broadcast_intra_process' END
 ], lambda b: b IS NOT NULL)"""
@@ -100,6 +114,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({
         "blocking_gaps": gaps("gap", "gap_critical", none),
         "coverage_gaps": gaps("coverage_gap", "coverage_critical", F.col("coverage_impact")),
+        "ai_blocking_gaps": gaps("ai_gap", "ai_gap_critical", none),
+        "refutation_basis": F.when(F.col("named_basis").isNotNull(), F.array("named_basis", "second_basis")),
+        "deterministic_facts": F.when(F.col("has_facts"), F.struct(F.col("reaches_argument").alias("value_flow_reaches_sink_argument"), "sender_reachable", F.col("fact_guard").alias("guard_status"), F.col("fact_authorization").alias("authorization_status"))),
         "sinks": F.when(F.col("receiver_text").isNotNull(), F.array(F.struct("receiver_text"))),
     })
 
@@ -162,16 +179,25 @@ def coverage_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SEVERITY = f"""CASE WHEN decision IN ('ai_false_positive', 'deterministically_refuted') THEN 'informational' WHEN decision = 'blocked' THEN 'pending' WHEN coalesce(evidence_level, 'L1') = 'L1' THEN 'informational'
-        WHEN {_GAP} OR {_COVER} THEN 'pending' WHEN coalesce(dataflow_status, 'not_proven') = 'not_proven' THEN 'pending'
-        WHEN analysis_status IN ('ai_failed', 'ai_skipped') AND NOT coalesce(chain_verified, FALSE) THEN 'pending' WHEN guard_status = 'present_effective' THEN 'informational'
-        WHEN authorization_status IN ('protected', 'strongly_protected') THEN 'informational' WHEN coalesce(authorization_status, 'unknown') = 'unknown' THEN 'pending'
-        WHEN coalesce(guard_status, 'unknown') IN ('unknown', 'present_partial') THEN 'pending'
-        WHEN chain_verified AND rule_id = 'SERVICE_BINDER_CALLER_CHECK_MISSING' THEN 'high' WHEN chain_verified AND rule_id = 'PROVIDER_UNAUTHORIZED_QUERY' THEN 'medium'
-        WHEN chain_verified AND target_registered = FALSE AND rule_id = 'ACTIVITY_EXTERNAL_ROUTE_INJECTION' THEN 'low'
-        WHEN coalesce(impact_status, 'potential') = 'potential' AND severity_hint IN ('high', 'critical') THEN CASE WHEN dataflow_status IN ('intraprocedural', 'interprocedural') THEN 'medium' ELSE 'pending' END
-        WHEN severity_hint IN ('critical', 'high', 'medium', 'low') THEN severity_hint ELSE 'pending' END"""
-_ALLOWED = f"CASE WHEN {_NEGATIVE} THEN {_BASES} ELSE list_filter({_BASES}, lambda b: b = 'local_broadcast_intra_process') END"
+_CONFLICT = "(coalesce(verdict = 'refutes_candidate', FALSE) AND flaw_holds AND len(bases) = 0)"
+_AI_GAP = "(ai_gap IS NOT NULL AND coalesce(ai_gap_critical, TRUE))"
+_SEVERITY_PAIR = f"""CASE WHEN decision = 'ai_false_positive' THEN 'informational|refuted_by_analysis_and_facts' WHEN decision = 'deterministically_refuted' THEN 'informational|refuted_by_facts' WHEN decision = 'blocked' THEN 'pending|guard_blocks_chain'
+        WHEN coalesce(evidence_level, 'L1') = 'L1' THEN 'informational|surface_only' WHEN {_GAP} OR {_AI_GAP} OR {_COVER} OR coalesce({_CONFLICT}, FALSE) THEN 'pending|critical_gap'
+        WHEN coalesce(dataflow_status, 'not_proven') = 'not_proven' THEN 'pending|dataflow_not_proven' WHEN analysis_status IN ('ai_failed', 'ai_skipped') AND NOT coalesce(chain_verified, FALSE) THEN 'pending|analysis_not_done'
+        WHEN guard_status = 'present_effective' THEN 'informational|effective_guard' WHEN authorization_status IN ('protected', 'strongly_protected') THEN 'informational|protected'
+        WHEN coalesce(authorization_status, 'unknown') = 'unknown' THEN 'pending|authorization_unknown' WHEN coalesce(guard_status, 'unknown') IN ('unknown', 'present_partial') THEN 'pending|guard_not_proven'
+        WHEN chain_verified AND rule_id = 'SERVICE_BINDER_CALLER_CHECK_MISSING' THEN 'high|calibrated_ceiling' WHEN chain_verified AND rule_id = 'PROVIDER_UNAUTHORIZED_QUERY' THEN 'medium|calibrated_ceiling'
+        WHEN chain_verified AND target_registered = FALSE AND rule_id = 'ACTIVITY_EXTERNAL_ROUTE_INJECTION' THEN 'low|calibrated_ceiling'
+        WHEN coalesce(impact_status, 'potential') = 'potential' AND severity_hint IN ('high', 'critical') THEN CASE WHEN dataflow_status IN ('intraprocedural', 'interprocedural') THEN 'medium' ELSE 'pending' END || '|impact_potential'
+        ELSE CASE WHEN severity_hint IN ('critical', 'high', 'medium', 'low') THEN severity_hint ELSE 'pending' END || '|proven_flow_and_boundary' END"""
+_SEVERITY = f"split_part({_SEVERITY_PAIR}, '|', 1)"
+_CONFIRMED = """coalesce(CASE {0} WHEN 'in_process_terminus' THEN NOT reaches_argument WHEN 'sender_unreachable' THEN NOT sender_reachable
+        WHEN 'guard_fail_closed' THEN coalesce(fact_guard = 'present_effective', FALSE) OR coalesce(guard_status = 'present_effective', FALSE)
+        WHEN 'non_exported_provider' THEN coalesce(fact_authorization = 'protected', FALSE) OR NOT exported OR coalesce(NOT provider_exported, FALSE)
+        WHEN 'fixed_local_target' THEN target_registered AND target_fixed WHEN 'constant_sink_argument' THEN argument_constant WHEN 'no_real_call_site' THEN NOT call_site_exists ELSE FALSE END, FALSE)""".format
+_SECOND = "coalesce(second_basis, '')"
+_NAMED = f"CASE WHEN named_basis IS NOT NULL AND has_facts AND {_CONFIRMED('named_basis')} AND ({_SECOND} = '' OR {_CONFIRMED('second_basis')}) THEN CASE WHEN {_SECOND} = '' THEN [named_basis] ELSE [named_basis, second_basis] END ELSE [] END"
+_ALLOWED = f"CASE WHEN {_NEGATIVE} THEN CASE WHEN len({_BASES}) > 0 THEN {_BASES} ELSE {_NAMED} END ELSE list_filter({_BASES}, lambda b: b = 'local_broadcast_intra_process') END"
 _REFUTES = "coalesce(verdict = 'refutes_candidate', FALSE)"
 _PROVEN = "coalesce(dataflow_status IN ('intraprocedural', 'interprocedural', 'verified'), FALSE)"
 _DECISION = f"""CASE WHEN guard_blocked AND NOT {_REFUTES} THEN 'blocked' WHEN coalesce(contract_failure, '') = '' AND {_REFUTES} AND len(bases) > 0 THEN 'ai_false_positive'
@@ -190,23 +216,22 @@ _DECIDED = f"b AS (SELECT *, {_ALLOWED} AS bases FROM c), d AS (SELECT *, {_DECI
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with false_positive_basis and evidence_decision."""
-    bases = decision.refutation_bases()
-    local = F.filter(bases, lambda b: b == "local_broadcast_intra_process")
-    allowed = F.when(decision.coverage_allows("coverage_gaps", "negative_proof", F.col("negative_complete")), bases).otherwise(local)
-    rows = candidates(spark, sf_dir).withColumn("bases", allowed).withColumn("evidence_decision", decision.evidence_decision(F.col("bases")))
+    negative = decision.coverage_allows("coverage_gaps", "negative_proof", F.col("negative_complete"))
+    rows = candidates(spark, sf_dir).withColumn("bases", decision.refuting(negative))
+    rows = rows.withColumn("evidence_decision", decision.evidence_decision(F.col("bases")))
     return rows.withColumn("false_positive_basis", F.when(F.col("evidence_decision") == "ai_false_positive", F.col("bases")).otherwise(F.array().cast("array<string>")))
 
 
 @query(f"WITH {SQL}, {_DECIDED} SELECT candidate, decision AS evidence_decision, CASE WHEN decision = 'ai_false_positive' THEN array_to_string(bases, ',') ELSE '' END AS basis FROM d")
 def evidence_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN11, FN12: what evidence, coverage and an analysis together say about each candidate."""
+    """FN11, FN12, FN13: what evidence, coverage and an analysis together say about each candidate."""
     return decided(spark, sf_dir).select("candidate", "evidence_decision", F.array_join("false_positive_basis", ",").alias("basis"))
 
 
-@query(f"WITH {SQL}, {_DECIDED} SELECT candidate, {_SEVERITY} AS severity FROM d")
+@query(f"WITH {SQL}, {_DECIDED} SELECT candidate, {_SEVERITY} AS severity, split_part({_SEVERITY_PAIR}, '|', 2) AS reason FROM d")
 def finding_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN10: severity after the evidence decision."""
-    return decided(spark, sf_dir).select("candidate", decision.severity().alias("severity"))
+    """FN10: severity after the evidence decision, and why."""
+    return decided(spark, sf_dir).select("candidate", decision.severity(decision.conflict(F.col("bases"))).alias("s")).select("candidate", "s.*")
 
 
 @query(f"""WITH {SQL}, {_DECIDED}, r AS (SELECT *, {_REVIEW} AS pair FROM d)
