@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import broadcast_if_few, unused
+
 #: Fixed values of the platform: base levels by number, flags by bit.
 BASES = ("normal", "dangerous", "signature", "signatureOrSystem", "knownSigner", "internal")
 FLAGS = (
@@ -48,22 +50,23 @@ def protection(level: Column) -> Column:
 def policies(rows: DataFrame, custom: DataFrame, platform: DataFrame, permission: str = "permission", hint: str = "hint") -> DataFrame:
     """Add provenance, level and status to rows: the app's own permissions (custom: owner, name, level) come before the
     platform's (platform: name, level), before a stated hint. Unlisted platform permissions stay unknown. rows need
-    owner, permission and hint; both dimensions are small and unique by key."""
-    own = custom.select("owner", F.col("name").alias(permission), F.col("level").alias("own_level"), F.lit(True).alias("is_own"))
-    listed = platform.select(F.col("name").alias(permission), F.col("level").alias("platform_level"))
-    both = rows.join(own, ["owner", permission], "left").join(F.broadcast(listed), permission, "left")
+    owner, permission and hint; both dimensions are unique by key. Columns of rows stay, but for provenance, level and status."""
+    own_level, is_own, platform_level = unused(rows.columns, "own_level", "is_own", "platform_level")
+    own = custom.select("owner", F.col("name").alias(permission), F.col("level").alias(own_level), F.lit(True).alias(is_own))
+    listed = platform.select(F.col("name").alias(permission), F.col("level").alias(platform_level))
+    both = rows.join(own, ["owner", permission], "left").join(broadcast_if_few(listed), permission, "left")
     name, told = F.col(permission), F.col(hint).isNotNull() & ~F.col(hint).isin("platform_or_unknown", "unknown")
     found = [
         (F.coalesce(name, F.lit("")) == "", "none", F.lit(None)),
-        (F.col("is_own"), "manifest_permission", F.col("own_level")),
-        (F.col("platform_level").isNotNull(), "platform_catalog", F.col("platform_level")),
+        (F.col(is_own), "manifest_permission", F.col(own_level)),
+        (F.col(platform_level).isNotNull(), "platform_catalog", F.col(platform_level)),
         (name.startswith("android.permission."), "platform_catalog_missing", F.lit(None)),
         (told, "component_protection_hint", F.col(hint)),
     ]
     where, level = F.lit("dependency_or_undeclared_permission"), F.lit(None)
     for test, source, value in reversed(found):
         where, level = F.when(test, source).otherwise(where), F.when(test, value).otherwise(level)
-    out = both.withColumns({"provenance": where, "level": level.cast("string")}).drop("own_level", "is_own", "platform_level")
+    out = both.withColumns({"provenance": where, "level": level.cast("string")}).drop(own_level, is_own, platform_level)
     return out.withColumn("status", F.when(F.col("provenance") == "none", "unprotected").otherwise(protection(F.col("level"))["status"]))
 
 

@@ -7,20 +7,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import broadcast_if_few
+
 
 def files_of_components(components: DataFrame, classes: DataFrame, strict: bool) -> DataFrame:
-    """component, path: the files of classes (qualified, name, path) that belong to components (component: a full name).
+    """component, path: the files of classes (qualified, name, path; a file without classes has null names) that belong to
+    components (component: a full name).
 
-    Strict: the full name, or the path made of it; only where neither exists, the simple name, if all classes of it
-    share one full name. Not strict: full name or simple name. Outer classes stand for nested ones (A$B).
+    Not strict: by the full name, by the last part of it as a class's name, or by files of that name in any folder (.java
+    or .kt, in any case of ASCII letters). Strict: by the full name of the outer class (A of A$B), or the path made of it;
+    only where neither exists, by the simple name, if all classes of it share one full name.
     """
-    asked = components.select("component").distinct().withColumn("full", F.substring_index("component", "$", 1))
-    asked = asked.withColumns({"simple": F.substring_index("full", ".", -1), "source": F.concat(F.translate("full", ".", "/"), F.lit(".java"))})
-    exact = asked.join(classes, F.col("full") == F.col("qualified")).select("component", "path")
-    by_path = asked.join(classes, F.col("source") == F.col("path")).select("component", "path")
+    asked = components.select("component").where("component is not null").distinct()
+    found = lambda df, left, right: df.join(classes, left == right).select("component", "path")
     if not strict:
-        return exact.unionByName(by_path).unionByName(asked.join(classes, F.col("simple") == F.col("name")).select("component", "path")).distinct()
-    sure = exact.unionByName(by_path).distinct()
+        last = asked.withColumn("last", F.substring_index("component", ".", -1))
+        named = last.select("component", F.explode(F.array(*[F.concat(F.lower("last"), F.lit(end)) for end in (".java", ".kt")])).alias("file"))
+        files = classes.where("path like '%/%'").select(F.lower(F.substring_index("path", "/", -1)).alias("file"), "path").distinct()
+        by_file = named.join(files, "file").select("component", "path")
+        return found(asked, F.col("component"), F.col("qualified")).unionByName(found(last, F.col("last"), F.col("name"))).unionByName(by_file).distinct()
+    asked = asked.withColumn("full", F.substring_index("component", "$", 1))
+    asked = asked.withColumns({"simple": F.substring_index("full", ".", -1), "source": F.translate("full", ".", "/")})
+    spelled = asked.select("component", F.explode(F.array(*[F.concat("source", F.lit(end)) for end in (".java", ".kt")])).alias("file"))
+    sure = found(asked, F.col("full"), F.col("qualified")).unionByName(found(spelled, F.col("file"), F.col("path"))).distinct()
     single = classes.groupBy("name").agg(F.min("qualified").alias("a"), F.max("qualified").alias("b")).where("a = b").select("name")
     rest = asked.join(sure.select("component").distinct(), "component", "left_anti")
     loose = rest.join(classes.join(single, "name", "left_semi"), F.col("simple") == F.col("name")).select("component", "path")
@@ -56,14 +65,14 @@ def taxonomy(calls: DataFrame, entries: DataFrame) -> DataFrame:
 
     Entries of the method fit if they have no constraint on the receiver, if the receiver meets one of them, or if the
     receiver is unknown; the first by place counts. A known arity that an entry does not list rules it out; an unknown
-    one leaves the call unconfirmed. Entries are few and are broadcast.
+    one leaves the call unconfirmed. Entries are broadcast if they are few.
     """
     receiver = F.col("receiver")
     free = F.coalesce("exact", "prefix", "leaf").isNull()
     met = [receiver == F.col("exact"), receiver.startswith(F.col("prefix")), F.substring_index(receiver, ".", -1) == F.col("leaf")]
     fits = free | receiver.isNull() | reduce(lambda a, b: a | b, [F.coalesce(m, F.lit(False)) for m in met])
     counts = F.col("arities").isNull() | F.col("arity").isNull() | F.array_contains("arities", F.col("arity"))
-    joined = calls.join(F.broadcast(entries), "method").where(fits & F.coalesce(counts, F.lit(True)))
+    joined = calls.join(broadcast_if_few(entries), "method").where(fits & F.coalesce(counts, F.lit(True)))
     sure = F.col("arities").isNull() | F.col("arity").isNotNull()
     best = joined.groupBy("call").agg(F.min(F.struct("place", "taxonomy", sure.alias("confirmed"))).alias("best"))
     return calls.join(best, "call", "left").select(*calls.columns, "best.taxonomy", "best.confirmed")

@@ -79,3 +79,8 @@ def join_spread(rows: DataFrame, table: DataFrame, on: str, how: str = "inner",
     keys = F.broadcast(hot.select(on))
     far = rows.join(keys, on, "left_anti").join(table, on, how)
     return far.unionByName(rows.join(F.broadcast(hot.drop("n_of_key")), on))
+
+
+def broadcast_if_few(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """table, marked for broadcast if it has at most so many rows; else it is joined by shuffle."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import admission, decision, graph
-from ..operators.tables import read
+from ..operators.tables import join_spread, read
 from .base import query
 
 
@@ -19,7 +19,7 @@ def representative_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("id"))
     firsts = docs.groupBy("id").agg(F.min("doc_id").alias("representative"))
     results = firsts.join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("representative"), "quality"), "representative", "left")
-    return docs.join(results, "id").select("doc_id", "representative", "quality")
+    return join_spread(docs, results, "id").select("doc_id", "representative", "quality")
 
 
 @query("""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lattice
 from ..operators import store
 from ..operators.tables import read
+from ..operators.windows import running_total
 from .base import query
 
 _STATUS = "CASE {x} % 5 WHEN 0 THEN 'unprotected' WHEN 1 THEN 'conditional' WHEN 2 THEN 'unknown' WHEN 3 THEN 'protected' ELSE 'strongly_protected' END"
@@ -49,9 +50,9 @@ def triage_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records by source and language up to a budget of characters; the first one always stays."""
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
     sized = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.length("text").cast("long").alias("n"))
-    return sized.withColumns({"used": F.sum("n").over(w), "k": F.row_number().over(w)}).where("used <= 50000 or k = 1").select("doc_id", "source", "n")
+    summed = running_total(sized, ["source", "lang"], ["doc_id"], {"used": F.col("n"), "k": F.lit(1)})
+    return summed.where("(used <= 50000 and n is not null) or k = 1").select("doc_id", "source", "n")
 
 
 @query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(length(text), turn)::BIGINT AS n_chars FROM conversations GROUP BY 1")

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lookups
-from ..operators.tables import read
+from ..operators.tables import join_spread, read
 from .base import query
 
 _QUALIFIED = "'com.' || lower(c_mktsegment) || '.N' || (c_custkey % 40)"
-_CLASSES = f"SELECT c_custkey, {_QUALIFIED} AS qualified, 'N' || (c_custkey % 40) AS name, CASE WHEN c_custkey % 6 = 0 THEN 'com/' || lower(c_mktsegment) || '/N' || (c_custkey % 40) || '.java' ELSE 'src/' || c_custkey || '.java' END AS path FROM customer WHERE c_custkey % 40 < 30 OR c_mktsegment = 'BUILDING'"
+_CLASSES = f"SELECT c_custkey, {_QUALIFIED} AS qualified, 'N' || (c_custkey % 40) AS name, CASE WHEN c_custkey % 6 = 0 THEN 'com/' || lower(c_mktsegment) || '/N' || (c_custkey % 40) || CASE WHEN c_custkey % 12 = 0 THEN '.kt' ELSE '.java' END ELSE 'src/' || c_custkey || '.java' END AS path FROM customer WHERE c_custkey % 40 < 30 OR c_mktsegment = 'BUILDING'"
 _ASKED = "SELECT DISTINCT CASE s_suppkey % 3 WHEN 0 THEN 'com.building.N' || (s_suppkey % 45) WHEN 1 THEN 'com.machinery.N' || (s_suppkey % 45) || '$Inner' ELSE 'com.none.N' || (s_suppkey % 45) END AS component FROM supplier"
 
 
@@ -24,14 +24,14 @@ def _frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _A = f"c AS ({_CLASSES}), a AS (SELECT component, split_part(component, '$', 1) AS full_name, split_part(split_part(component, '$', 1), '.', 3) AS simple FROM ({_ASKED}) x)"
 
 
-@query(f"WITH {_A} SELECT DISTINCT component, path FROM a JOIN c ON full_name = qualified OR simple = name OR replace(full_name, '.', '/') || '.java' = path")
+@query(f"WITH {_A} SELECT DISTINCT component, path FROM a JOIN c ON component = qualified OR split_part(component, '.', 3) = name OR lower(path) LIKE '%/' || lower(split_part(component, '.', 3)) || '.java' OR lower(path) LIKE '%/' || lower(split_part(component, '.', 3)) || '.kt'")
 def files_of_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT2: the files of components by full name, simple name or path."""
     return lookups.files_of_components(*_frames(spark, sf_dir), strict=False)
 
 
 @query(f"""
-    WITH {_A}, sure AS (SELECT DISTINCT component, path FROM a JOIN c ON full_name = qualified OR replace(full_name, '.', '/') || '.java' = path)
+    WITH {_A}, sure AS (SELECT DISTINCT component, path FROM a JOIN c ON full_name = qualified OR path IN (replace(full_name, '.', '/') || '.java', replace(full_name, '.', '/') || '.kt'))
     SELECT * FROM sure UNION ALL
     SELECT DISTINCT component, path FROM a JOIN c ON simple = name WHERE component NOT IN (SELECT component FROM sure) AND name IN (SELECT name FROM c GROUP BY name HAVING count(DISTINCT qualified) = 1)
 """)
@@ -158,4 +158,4 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SP52, SNK4: assets are unique by content and keep their first copy; ids carry their run."""
     rows = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.coalesce("source", F.lit("none")).alias("run"))
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("asset"))
-    return rows.join(first, "digest").select("doc_id", "digest", "asset", F.concat(F.lit("run_"), "run", F.lit("_"), F.substring("digest", 1, 12)).alias("scoped_id"))
+    return join_spread(rows, first, "digest").select("doc_id", "digest", "asset", F.concat(F.lit("run_"), "run", F.lit("_"), F.substring("digest", 1, 12)).alias("scoped_id"))

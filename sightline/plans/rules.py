@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import text_rules
 from ..operators.tables import read
+from ..operators.windows import running_total
 from .base import query
 
 #: Patterns that Java's and RE2's dialects read alike.
@@ -67,8 +68,8 @@ def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entry_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids made of hosts; repeated ones get __2, __3 in page order."""
     base = F.regexp_replace(F.regexp_extract("url", "//([^/?#]+)", 1), "[^A-Za-z0-9]+", "_")
-    k = F.row_number().over(Window.partitionBy("base").orderBy("page_id"))
-    return read(spark, sf_dir, "pages").withColumn("base", base).withColumn("k", k).select("page_id", F.concat("base", F.when(F.col("k") > 1, F.concat(F.lit("__"), "k")).otherwise("")).alias("entry_id"))
+    rows = read(spark, sf_dir, "pages").select("page_id", base.alias("base"))
+    return running_total(rows, ["base"], ["page_id"], F.lit(1), "k").select("page_id", F.concat("base", F.when(F.col("k") > 1, F.concat(F.lit("__"), "k")).otherwise("")).alias("entry_id"))
 
 
 @query(r"""
