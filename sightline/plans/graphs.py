@@ -40,12 +40,13 @@ def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     WITH RECURSIVE {_PART_SQL}, r(v, d) AS (
         SELECT p_partkey, 0::BIGINT FROM part WHERE p_size = 50 AND p_brand = 'Brand#4'
-        UNION SELECT e.dst, r.d + 1 FROM r JOIN e ON e.src = r.v WHERE r.d < 2)
+        UNION SELECT e.dst, r.d + 1 FROM r JOIN e ON e.src = r.v WHERE r.d < 8)
     SELECT v AS vertex, min(d) AS depth FROM r GROUP BY v
 """)
 def bounded_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR2: what some parts reach within eight steps."""
     seeds = read(spark, sf_dir, "part").where("p_size = 50 and p_brand = 'Brand#4'").select(F.col("p_partkey").alias("vertex"))
-    return graph.reach(_parts(spark, sf_dir), seeds, 2)
+    return graph.reach(_parts(spark, sf_dir), seeds, 8)
 
 
 @query(f"""
@@ -71,42 +72,23 @@ def smallest_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH RECURSIVE {_PART_SQL}, r(v, d) AS (SELECT min(p_partkey), 0::BIGINT FROM part UNION SELECT e.dst, r.d + 1 FROM r JOIN e ON e.src = r.v WHERE r.d < 1)
-    SELECT depth, count(*) AS n FROM (SELECT v, min(d) AS depth FROM r GROUP BY v) GROUP BY depth
+    WITH RECURSIVE {_PART_SQL}, r(v, d) AS (SELECT min(p_partkey), 0::BIGINT FROM part UNION SELECT e.dst, r.d + 1 FROM r JOIN e ON e.src = r.v WHERE r.d < 9),
+    n AS (SELECT depth, count(*) AS n, sum(count(*)) OVER (ORDER BY depth) AS nodes FROM (SELECT v, min(d) AS depth FROM r GROUP BY v) GROUP BY depth),
+    full_ AS (SELECT min(depth) AS depth FROM n WHERE nodes >= 500 AND depth BETWEEN 1 AND 8)
+    SELECT n.depth, n, CASE WHEN full_.depth IS NOT NULL THEN 'node_limit' WHEN (SELECT max(depth) FROM n) > 8 THEN 'depth_limit' END AS ended FROM n, full_ WHERE n.depth <= coalesce(full_.depth, 8)
 """)
 def tree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR3: the levels of a breadth-first tree within eight levels and 500 nodes, and why growth ended early."""
     entry = read(spark, sf_dir, "part").agg(F.min("p_partkey").alias("vertex"))
-    nodes, _ = graph.tree(_parts(spark, sf_dir), entry, depth_limit=1)
-    return nodes.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+    nodes, reason = graph.tree(_parts(spark, sf_dir), entry)
+    return nodes.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).withColumn("ended", F.lit(reason).cast("string"))
 
 
 @query("""
     WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS k FROM lineitem)
-    SELECT l_orderkey, l_linenumber, l_partkey, k::INTEGER AS k FROM n WHERE k <= 3
+    SELECT l_orderkey, l_linenumber, l_partkey, k::INTEGER AS k FROM n WHERE k <= 8
 """)
 def first_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three calls of each caller in line order."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    return read(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w)).where("k <= 3").select("l_orderkey", "l_linenumber", "l_partkey", "k")
-
-
-@query()
-def tree_levels_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tree_levels with the tree's own limits, and why growth ended early."""
-    entry = read(spark, sf_dir, "part").agg(F.min("p_partkey").alias("vertex"))
-    nodes, reason = graph.tree(_parts(spark, sf_dir), entry)
-    return nodes.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).withColumn("ended", F.lit(reason).cast("string"))
-
-
-@query()
-def bounded_reach_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bounded_reach to depth 8."""
-    seeds = read(spark, sf_dir, "part").where("p_size = 50 and p_brand = 'Brand#4'").select(F.col("p_partkey").alias("vertex"))
-    return graph.reach(_parts(spark, sf_dir), seeds, 8)
-
-
-@query()
-def first_hops_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight calls of each caller in line order."""
+    """GR4: the first eight calls of each caller in line order."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     return read(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w)).where("k <= 8").select("l_orderkey", "l_linenumber", "l_partkey", "k")

@@ -34,10 +34,10 @@ def test_whole_reach_tree_and_hops(spark):
     by_order, after = following(spark)
     parts = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_size", "p_brand").collect()
     want, ended = levels(after, [min(r["p_partkey"] for r in parts)], 8, 500)
-    got = registry.QUERIES["tree_levels_whole"](spark, SF).collect()
+    got = registry.QUERIES["tree_levels"](spark, SF).collect()
     assert {r["depth"]: r["n"] for r in got} == Counter(want.values()) and max(want.values()) > 1
     assert {r["ended"] for r in got} == {ended}
     want, _ = levels(after, [r["p_partkey"] for r in parts if r["p_size"] == 50 and r["p_brand"] == "Brand#4"], 8)
-    assert {r["vertex"]: r["depth"] for r in registry.QUERIES["bounded_reach_whole"](spark, SF).collect()} == want
-    hops = Counter(r["l_orderkey"] for r in registry.QUERIES["first_hops_whole"](spark, SF).collect())
+    assert {r["vertex"]: r["depth"] for r in registry.QUERIES["bounded_reach"](spark, SF).collect()} == want
+    hops = Counter(r["l_orderkey"] for r in registry.QUERIES["first_hops"](spark, SF).collect())
     assert hops == {k: min(8, len(rows)) for k, rows in by_order.items()} and max(hops.values()) > 3
