@@ -242,7 +242,7 @@ def digest_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, sha256 of its ids and of the bytes that the ids decode to.
 
     Encodes, and decodes the ids again, in one narrow stage: no shuffle, and only digests leave the task. Null texts
-    count as empty (0 tokens). Repeated rows give repeated results; other columns are not read.
+    count as empty (0 tokens). Repeated rows give repeated results, an empty table no rows; other columns are not read.
     """
 
     def make() -> Callable[[dict], dict]:

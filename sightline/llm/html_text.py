@@ -284,7 +284,8 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """Add text and n_chars to every page; other columns stay, and own columns of these names are replaced. A null or
-    empty page, or one without text, gives an empty text of 0 characters. Repeated rows give repeated results."""
+    empty page, or one without text, gives an empty text of 0 characters. Repeated rows give repeated results; an empty table
+    gives no rows."""
     kept = [c for c in pages.columns if c not in ("text", "n_chars", column)]
 
     def make():

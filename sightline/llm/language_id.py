@@ -190,7 +190,12 @@ def predict(docs: DataFrame, model: Model, into: tuple[str, str, str] = ("lang_p
 
 
 def learn_and_predict(docs: DataFrame) -> DataFrame:
-    """Fit on the labelled rows that are not held out and predict all: doc_id, held_out, lang_pred, score, support."""
+    """Fit on the labelled rows that are not held out and predict all: doc_id, held_out, lang_pred, score, support.
+
+    A null text, or one without a letter, is und with score 0; so is every row if no language can be learned. A null lang
+    is no label. Repeated rows each have their row; an empty table gives no rows. Columns other than doc_id, text and lang
+    are not read.
+    """
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_of().alias("text"))
     return predict(texts, model).drop("text")
@@ -198,7 +203,8 @@ def learn_and_predict(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least_support: float = 0.2) -> DataFrame:
     """The rows in a learned language: with a letter, and with at least least_support of the words known or made of
-    known n-grams of KNOWN_GRAM letters. If no language can be learned, all rows with a letter stay."""
+    known n-grams of KNOWN_GRAM letters. If no language can be learned, all rows with a letter stay. Null texts go; repeated
+    rows are judged alike; an empty table stays empty; columns of any name stay."""
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))

@@ -401,7 +401,12 @@ def _through_pivots(groups: DataFrame, firsts: DataFrame, texts: DataFrame, word
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """The documents that near_groups keeps, one of each group of linked ones; all columns stay."""
+    """The documents that near_groups keeps, one of each group of linked ones; all columns stay.
+
+    Rows are dropped by doc_id: a row without one always stays, and rows that share one go together, also if their texts
+    differ, when any of them is a copy of a document with a smaller id. Make ids unique first where that matters. An empty
+    table stays empty.
+    """
     gone = write_table(near_groups(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     (name,) = unused(docs, "gone")

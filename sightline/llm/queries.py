@@ -13,19 +13,23 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the labelled rows that are not held out."""
     return language_id.learn_and_predict(_documents(spark, sf_dir))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return html_text.extract(pages)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every document and of the bytes that they decode to."""
     return byte_bpe.digest_round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; the row with the largest doc_id stays."""
     return exact_dedup.exact_groups(_documents(spark, sf_dir), keep="largest").withColumnRenamed("digest", "text_sha256")
 
 
@@ -34,28 +38,34 @@ MIX = mixing.Target(repetition=2.0)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row handed out, with its epoch, block and keys."""
     docs = _documents(spark, sf_dir)
     counted = docs.select("doc_id", "source", mixing.word_count(shared.text_of()).alias("n_tokens"))
     return mixing.realise(counted, mixing.plan(docs, MIX), MIX)
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
     return order_minhash.compare_with_next(_documents(spark, sf_dir))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document: those of the patterns, and those that the field adds."""
     return personal_data.find(_documents(spark, sf_dir))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the documents with its group of near lines, and whether it stays."""
     return line_dedup.decide(_documents(spark, sf_dir))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets, counts and checksums of every document, read back from the token files."""
     return token_files.round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share most of their shingles; the smallest doc_id stays."""
     return near_dedup.near_groups(_documents(spark, sf_dir))
 
 
