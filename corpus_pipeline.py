@@ -2,6 +2,10 @@
 
 Each stage takes all documents that the one before kept; every stage but the last returns the columns of documents.
 Between stages the documents are written as Parquet and read again.
+
+In every stage a null text counts as empty, an empty table stays empty, repeated rows are judged alike (of whole repeated
+rows exact dedup keeps one), and columns of any name stay but in the last one. Rows without a doc_id take part: near dedup
+never drops them, and drops rows that share a doc_id together.
 """
 
 from __future__ import annotations
