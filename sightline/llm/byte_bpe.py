@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .shared import in_worker, map_columns, text_of
 
 #: Entries kept by a task's cache of encoded pieces; it starts anew beyond that, so memory stays bounded.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 300_000
 #: Pieces kept beside the stretches, most of which are one piece.
 PIECE_ENTRIES = 100_000
 
@@ -151,9 +151,10 @@ class TextEncoder:
     without changing its matches; stretches between such cuts repeat a lot and are encoded once.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cut_at_blanks: bool):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cut_at_blanks: bool, entries: int = CACHE_ENTRIES):
         import regex
 
+        self.entries = entries
         self.encoder = PrefixEncoder(ranks)
         self.find = regex.compile(pattern).findall
         self.cut_at_blanks = cut_at_blanks
@@ -187,7 +188,7 @@ class TextEncoder:
         first, *rest = text.split(" ")
         if rest and (not first or first[-1].isspace()):
             return list(self.plain(text))
-        if len(self.stretches) >= CACHE_ENTRIES:
+        if len(self.stretches) >= self.entries:
             self.older_stretches, self.stretches = self.stretches, {}
         known = self.stretches
         try:
@@ -210,8 +211,8 @@ class TextEncoder:
 CUTTABLE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _encoder(path: str, pattern: str) -> TextEncoder:
-    return TextEncoder(load_ranks(path), pattern, pattern == CUTTABLE)
+def _encoder(path: str, pattern: str, entries: int) -> TextEncoder:
+    return TextEncoder(load_ranks(path), pattern, pattern == CUTTABLE, entries)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -219,7 +220,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     kept = [c for c in docs.columns if c != "ids"]
 
     def make() -> Callable[[dict], dict]:
-        encoder = in_worker(_encoder, path, pattern)
+        encoder = in_worker(_encoder, path, pattern, CACHE_ENTRIES)
         return lambda batch: batch | {"ids": [encoder.encode(t or "") for t in batch[text]]}
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema)
@@ -238,15 +239,16 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return map_columns(encoded.select(kept), make, f"{fields}, data binary")
 
 
-def digest_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digest_round_trip(docs: DataFrame, path: str, pattern: str, entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row per document: doc_id, n_tokens, sha256 of its ids and of the bytes that the ids decode to.
 
     Encodes, and decodes the ids again, in one narrow stage: no shuffle, and only digests leave the task. Null texts
     count as empty (0 tokens). Repeated rows give repeated results, an empty table no rows; other columns are not read.
+    entries: stretches of text that a worker remembers; fewer take less memory and more time.
     """
 
     def make() -> Callable[[dict], dict]:
-        encoder = in_worker(_encoder, path, pattern)
+        encoder = in_worker(_encoder, path, pattern, entries)
         table = encoder.encoder.token_bytes
         names = {i: str(i) for i in table}
 
