@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Steps, written
+from .tables import Steps
 
 
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
@@ -13,15 +13,18 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFr
 
     Cycles end by the anti-join with what was seen. Null ends never match. Empty seeds give no rows.
     """
-    edges = written(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
-    seen = written(seeds.select("vertex").where("vertex is not null").distinct().withColumn("depth", F.lit(0).cast("long")))
+    steps = Steps(edges.sparkSession)
+    edges = steps.put(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
+    seen = steps.put(seeds.select("vertex").where("vertex is not null").distinct().withColumn("depth", F.lit(0).cast("long")))
     frontier, depth = seen, 0
     while (most is None or depth < most) and not frontier.isEmpty():
         depth += 1
         found = frontier.join(edges, F.col("vertex") == F.col("src")).select(F.col("dst").alias("vertex")).distinct()
-        frontier = written(found.join(seen, "vertex", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        frontier = steps.put(found.join(seen, "vertex", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         seen = seen.unionByName(frontier)
-    return seen
+        if depth % 8 == 0:
+            seen = steps.put(seen)
+    return steps.result(seen)
 
 
 def reach_scoped(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
@@ -48,14 +51,15 @@ def reach_back(edges: DataFrame, targets: DataFrame, most: int) -> DataFrame:
 
 def rooted(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """vertex, root: for each reached vertex the smallest root that reaches it."""
-    edges = written(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
-    best = written(roots.select("vertex", F.col("vertex").alias("root")).where("vertex is not null").distinct())
+    steps = Steps(edges.sparkSession)
+    edges = steps.put(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
+    best = steps.put(roots.select("vertex", F.col("vertex").alias("root")).where("vertex is not null").distinct())
     changed = best
     while not changed.isEmpty():
         offered = changed.join(edges, F.col("vertex") == F.col("src")).groupBy(F.col("dst").alias("vertex")).agg(F.min("root").alias("offer"))
-        changed = written(offered.join(best, "vertex", "left").where("root is null or offer < root").select("vertex", F.col("offer").alias("root")))
-        best = written(best.join(changed, "vertex", "left_anti").unionByName(changed))
-    return best
+        changed = steps.put(offered.join(best, "vertex", "left").where("root is null or offer < root").select("vertex", F.col("offer").alias("root")))
+        best = steps.put(best.join(changed, "vertex", "left_anti").unionByName(changed))
+    return steps.result(best)
 
 
 def tree(edges: DataFrame, entry: DataFrame, depth_limit: int = 8, node_limit: int = 500) -> tuple[DataFrame, str | None]:
@@ -63,27 +67,30 @@ def tree(edges: DataFrame, entry: DataFrame, depth_limit: int = 8, node_limit: i
 
     The level in progress is finished, so there may be more nodes than the limit.
     """
-    edges = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    seen = written(entry.select("vertex", F.lit(0).cast("long").alias("depth")))
+    steps = Steps(edges.sparkSession)
+    edges = steps.put(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    seen = steps.put(entry.select("vertex", F.lit(0).cast("long").alias("depth")))
     frontier, depth = seen, 0
     while True:
         found = frontier.join(edges, F.col("vertex") == F.col("src")).select(F.col("dst").alias("vertex")).distinct().join(seen, "vertex", "left_anti")
         if depth == depth_limit:
-            return seen, None if found.isEmpty() else "depth_limit"
+            reason = None if found.isEmpty() else "depth_limit"
+            return steps.result(seen), reason
         depth += 1
-        frontier = written(found.withColumn("depth", F.lit(depth).cast("long")))
+        frontier = steps.put(found.withColumn("depth", F.lit(depth).cast("long")))
         if frontier.isEmpty():
-            return seen, None
+            return steps.result(seen), None
         seen = seen.unionByName(frontier)
         if seen.count() >= node_limit:
-            return seen, "node_limit"
+            return steps.result(seen), "node_limit"
 
 
 def walk_up(parents: DataFrame, most: int = 8) -> DataFrame:
     """vertex, top, steps, gap: from each vertex (vertex, parent) along its parents, at most so many steps. gap says why
     the walk ended early: cycle (the next vertex was passed already, wherever the walk began), depth_limit or none
     (null). Vertices must be unique. The path of a walk, at most `most` long, goes along in its row."""
-    parents = written(parents.select("vertex", "parent"))
+    steps = Steps(parents.sparkSession)
+    parents = steps.put(parents.select("vertex", "parent"))
     up = parents.select(F.col("vertex").alias("next"), F.col("parent").alias("above"))
     going = parents.select("vertex", F.col("parent").alias("next"), F.array("vertex").alias("path"))
     again = F.array_contains("path", F.col("next"))
@@ -96,10 +103,10 @@ def walk_up(parents: DataFrame, most: int = 8) -> DataFrame:
         if step == most:
             break
         moved = going.where(~F.coalesce(stop, F.lit(True))).join(up, "next", "left")
-        going = written(moved.select("vertex", F.col("above").alias("next"), F.concat("path", F.array("next")).alias("path")))
+        going = steps.put(moved.select("vertex", F.col("above").alias("next"), F.concat("path", F.array("next")).alias("path")))
         if going.isEmpty():
             break
     out = ended[0]
     for part in ended[1:]:
         out = out.unionByName(part)
-    return out
+    return steps.result(out)

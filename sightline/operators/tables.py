@@ -69,11 +69,11 @@ def unused(taken: list[str], *names: str) -> tuple[str, ...]:
 
 
 def join_spread(rows: DataFrame, table: DataFrame, on: str, how: str = "inner", most: int = 100_000) -> DataFrame:
-    """rows joined with table, which has one row for each key at most (inner or left). Keys with many of the rows are
-    not dealt to one task: those with a share of over 1 / most of all rows, so most of them at most, go by broadcast."""
+    """rows joined with table, which has one row for each key at most (inner or left). Keys with many rows are not dealt to
+    one task: of those with HOT_ROWS or more the `most` largest go by broadcast. Any other key has less
+    than one part in `most` of all rows."""
     counts = rows.groupBy(on).agg(F.count(F.lit(1)).alias("n_of_key")).where(F.col("n_of_key") >= HOT_ROWS)
-    every = rows.count()
-    hot = written(counts.where(F.col("n_of_key") > every // most).join(table, on))
+    hot = written(counts.orderBy(F.desc("n_of_key")).limit(most).join(table, on))
     if hot.isEmpty():
         return rows.join(table, on, how)
     keys = F.broadcast(hot.select(on))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import funnel, identity
+from ..operators import findings, funnel, identity
 from ..operators.tables import read
 from .base import query
 
@@ -107,3 +107,27 @@ def exact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"map('a', 1, 'timestamp_of', {n}, 'b', {a}) AS tail", f"{n} AS ai_score", f"concat({n}) AS slice_refs", f"{n} AS started_at",
     )
     return identity.exact_groups(rows, "candidate").select("candidate", "first", "n_same")
+
+
+_LEVELS = "element_at(array('L1', 'L2', 'L3'), CAST(candidate % 3 AS INT) + 1)"
+
+
+@query(f"""{_BASE.replace("SELECT o_orderkey,", "SELECT o_orderkey, o_orderkey % 4 AS last,")},
+    k AS (SELECT *, dense_rank() OVER (ORDER BY s, f, CASE f WHEN 1 THEN n END, {_SCOPE}, {_CHAIN}) AS grp FROM o),
+    l AS (SELECT grp, 'l' || x || ':' || n AS place, o_orderkey, x FROM k, generate_series(0, last) t(x)),
+    u AS (SELECT grp, place, min((o_orderkey, x)) AS first FROM l GROUP BY ALL), j AS (SELECT grp, string_agg(place, ',' ORDER BY first) AS places FROM u GROUP BY grp),
+    w AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY o_orderkey % 3 DESC, o_orderkey % 5 = 0 DESC, r DESC, n DESC, d DESC, CASE p WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END DESC, o_orderkey DESC) AS place FROM k),
+    m AS (SELECT grp, count(*) AS n_members, string_agg(DISTINCT 'R' || r, ',' ORDER BY 'R' || r) AS rules, max(o_orderkey) FILTER (place = 1) AS primary_, max(o_orderkey % 3) AS level,
+                 min(CASE o_orderkey % 7 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 3 END) AS auth, bool_or(o_orderkey % 11 = 0) AS open, bool_or(o_orderkey % 11 > 0) AS shut FROM w GROUP BY grp)
+    SELECT primary_ AS primary, n_members, rules, ['L1', 'L2', 'L3'][level + 1] AS evidence_level, places, ['unprotected', 'conditional', 'unknown'][auth] AS authorization_status,
+           CASE WHEN open AND shut THEN 'present_bypassable' WHEN open THEN 'absent' ELSE 'present_effective' END AS guard_status FROM m JOIN j USING (grp)
+""")
+def findings_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG1, AG2: candidates of one component, scope and chain as one finding, with the union of their places."""
+    rows = identity.identified(nested(spark, sf_dir), ("candidate",))
+    rows = rows.withColumns({
+        "evidence_level": F.expr(_LEVELS), "deterministic_chain_verified": F.col("candidate") % 5 == 0, "dataflow_status": F.lit("verified"), "impact_status": F.lit("proven"), "analysis_status": F.lit("ai_completed"),
+        "authorization_status": F.when(F.col("candidate") % 7 == 0, "conditional").when(F.col("candidate") % 7 == 1, "unprotected"), "guard_status": F.when(F.col("candidate") % 11 == 0, "absent").otherwise("present_effective"),
+    })
+    places = F.array_join(F.transform("locations", lambda x: F.concat_ws(":", x["path"], x["line"].cast("string"))), ",")
+    return findings.merged(rows, "candidate").select("primary", "n_members", F.array_join("rule_ids", ",").alias("rules"), "evidence_level", places.alias("places"), "authorization_status", "guard_status")
