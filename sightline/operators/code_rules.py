@@ -172,6 +172,14 @@ def priority(rule_id: Column, kind: Column, code: Column) -> Column:
     return F.coalesce(*rows, F.when(rule_id.endswith("EXPORTED_NO_PERMISSION"), EXPOSED), F.lit(OTHERS))
 
 
+def exposed(kind: Column, exported: Column, authorization: Column, only_protected: Column) -> Column:
+    """The rule that an exported component breaks, or null: a provider that is not strongly protected, another one that is
+    unprotected, but for receivers of protected broadcasts alone. Null is neither exported nor protected."""
+    weak = F.when(kind == "provider", ~authorization.eqNullSafe("strongly_protected")).otherwise((authorization == "unprotected") & ~((kind == "receiver") & F.coalesce(only_protected, F.lit(False))))
+    rule = F.when(kind == "provider", "PROVIDER_READ_WRITE_PERMISSION_MISSING").otherwise(F.concat(F.upper(kind), F.lit("_EXPORTED_NO_PERMISSION")))
+    return F.when((exported == "true") & weak, rule)
+
+
 def manifest_facts(apps: DataFrame) -> DataFrame:
     """rule_id and severity_hint for apps (debuggable, allow_backup, cleartext: true, false, unknown or null; target_sdk;
     has_backup_rules, has_network_config), beside their other columns."""

@@ -65,17 +65,15 @@ def rooted(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def tree(edges: DataFrame, entry: DataFrame, depth_limit: int = 8, node_limit: int = 500) -> tuple[DataFrame, str | None]:
     """Breadth-first nodes (vertex, depth), and why growth ended early: node_limit, depth_limit or None.
 
-    The level in progress is finished, so there may be more nodes than the limit.
+    The level in progress is finished, so there may be more nodes than the limit. A tree that has nodes of the last level
+    allowed counts as ended by it, since these are not looked at.
     """
     steps = Steps(edges.sparkSession)
     edges = steps.put(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     seen = steps.put(entry.select("vertex", F.lit(0).cast("long").alias("depth")))
     frontier, depth = seen, 0
-    while True:
+    while depth < depth_limit:
         found = frontier.join(edges, F.col("vertex") == F.col("src")).select(F.col("dst").alias("vertex")).distinct().join(seen, "vertex", "left_anti")
-        if depth == depth_limit:
-            reason = None if found.isEmpty() else "depth_limit"
-            return steps.result(seen), reason
         depth += 1
         frontier = steps.put(found.withColumn("depth", F.lit(depth).cast("long")))
         if frontier.isEmpty():
@@ -83,6 +81,18 @@ def tree(edges: DataFrame, entry: DataFrame, depth_limit: int = 8, node_limit: i
         seen = seen.unionByName(frontier)
         if seen.count() >= node_limit:
             return steps.result(seen), "node_limit"
+    return steps.result(seen), "depth_limit"
+
+
+def tree_relations(nodes: DataFrame, ended: str | None, calls: DataFrame) -> DataFrame:
+    """src, relation, dst of a tree (vertex, depth) and why it ended: an edge for each different resolved call of a node that
+    was looked at, and a gap for each of its calls with several targets. The nodes of the last level of a tree that ended
+    early were not looked at. calls: src, dst, status, name (what a gap is called)."""
+    last = nodes.agg(F.max("depth")).first()[0]
+    asked = (nodes if ended is None or last is None else nodes.where(F.col("depth") < last)).select(F.col("vertex").alias("src"))
+    edges = calls.where("status = 'resolved' and dst is not null").select("src", F.lit("edge").alias("relation"), F.col("dst").cast("string").alias("dst")).distinct()
+    gaps = calls.where("status = 'ambiguous'").select("src", F.lit("gap").alias("relation"), F.col("name").cast("string").alias("dst"))
+    return edges.unionByName(gaps).join(asked.distinct(), "src", "left_semi")
 
 
 def walk_up(parents: DataFrame, most: int = 8) -> DataFrame:

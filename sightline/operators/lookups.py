@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import broadcast_if_few
+from .tables import broadcast_if_few, join_spread
 
 
 def files_of_components(components: DataFrame, classes: DataFrame, strict: bool) -> DataFrame:
@@ -95,3 +95,24 @@ def skipped_components(components: DataFrame, skipped: DataFrame) -> DataFrame:
     stem = F.when(F.col("path").endswith(".java"), F.regexp_replace("path", r"\.java$", ""))
     folders = skipped.select("path", F.explode(F.array_distinct(F.array_compact(F.concat(F.filter(above, lambda a: a != F.col("path")), F.array(stem))))).alias("source"))
     return wanted.join(folders, "source").select("component", "path").distinct()
+
+
+def heads(rows: DataFrame, row_id: str, orders: dict[str, list], most: int) -> DataFrame:
+    """queue, row_id, place of the first so many rows in each of several orders; each a top-k, so that only these rows are
+    numbered in one task. Orders must tell all rows apart for the same result each time."""
+    parts = [rows.orderBy(*by).limit(most).select(F.lit(name).alias("queue"), row_id, F.row_number().over(Window.orderBy(*by)).cast("long").alias("place")) for name, by in orders.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def assets(rows: DataFrame, row_id: str, digest: str, run: str) -> DataFrame:
+    """rows with asset, the least row_id of the rows of one digest, and scoped_id, an id that carries the run (none for a
+    null one) and the beginning of the digest. Digests with many copies are not dealt to one task; null ones have no asset."""
+    first = rows.groupBy(digest).agg(F.min(row_id).alias("asset"))
+    scoped = F.concat(F.lit("run_"), F.coalesce(F.col(run), F.lit("none")), F.lit("_"), F.substring(digest, 1, 12))
+    return join_spread(rows, first, digest, "left").withColumn("scoped_id", scoped)
+
+
+def within_files(items: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """items (keys, line, end_line) with within: whether their file (keys unique, total lines) is there and holds them."""
+    within = (F.col("line") >= 1) & (F.col("line") <= F.col("end_line")) & (F.col("end_line") <= F.col("total"))
+    return items.join(files, keys, "left").withColumn("within", F.coalesce(within, F.lit(False))).drop("total")

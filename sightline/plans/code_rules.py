@@ -126,9 +126,6 @@ _STATUS = "CASE o_orderkey % 5 WHEN 0 THEN 'unprotected' WHEN 1 THEN 'conditiona
 """)
 def exposed_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RU1, RU2: components that others reach without a permission; receivers of protected broadcasts alone are left out."""
-    kind, auth = F.col("kind"), F.col("auth")
     stated = F.when(F.col("o_custkey") % 3 == 0, "true").when(F.col("o_custkey") % 3 == 1, "false").otherwise("conditional")
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_KIND).alias("kind"), stated.alias("exported"), F.expr(_STATUS).alias("auth"), (F.col("o_orderkey") % 7 == 0).alias("only_protected")).where("exported = 'true'")
-    weak = F.when(kind == "provider", auth != "strongly_protected").otherwise((auth == "unprotected") & ~((kind == "receiver") & F.col("only_protected")))
-    rule = F.when(kind == "provider", "PROVIDER_READ_WRITE_PERMISSION_MISSING").otherwise(F.concat(F.upper(kind), F.lit("_EXPORTED_NO_PERMISSION")))
-    return rows.where(weak).select("o_orderkey", rule.alias("rule_id"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", code_rules.exposed(F.expr(_KIND), stated, F.expr(_STATUS), F.col("o_orderkey") % 7 == 0).alias("rule_id"))
+    return rows.where("rule_id is not null")

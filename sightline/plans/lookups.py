@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lookups
-from ..operators.tables import join_spread, read
+from ..operators.tables import read
 from .base import query
 
 _QUALIFIED = "'com.' || lower(c_mktsegment) || '.N' || (c_custkey % 40)"
@@ -110,13 +110,14 @@ def skipped_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 LADDER = ((r"\brce\b|command|code execution", "critical"), ("sql|traversal|secret", "high"), ("leak|log", "medium"), ("hint|info", "low"))
 
 
-@query("""
-    SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\bthe of\\b') THEN 'critical' WHEN regexp_matches(text, '(?i)the') THEN 'high' WHEN regexp_matches(text, '(?i)sch') THEN 'medium' ELSE 'low' END AS severity FROM documents
-""".replace("\\\\", "\\"))
+_TITLES = ("SQL injection", "forced RCE by a command", "Path Traversal", "Log leak of names", "a hint", "enforced", None)
+
+
+@query(f"SELECT o_orderkey, ['high', 'critical', 'high', 'medium', 'low', 'low', 'low'][1 + o_orderkey % {len(_TITLES)}] AS severity FROM orders")
 def severity_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC22: the first of a ladder of words that a text has."""
-    ladder = ((r"\bthe of\b", "critical"), ("the", "high"), ("sch", "medium"))
-    return read(spark, sf_dir, "documents").select("doc_id", lookups.severity_words(F.coalesce("text", F.lit("")), ladder, "low").alias("severity"))
+    """SC22: the severity of a title by the first of a ladder of words that it has."""
+    titles = F.element_at(F.array(*map(F.lit, _TITLES)), (1 + F.col("o_orderkey") % len(_TITLES)).cast("int"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", lookups.severity_words(F.coalesce(titles, F.lit("")), LADDER, "low").alias("severity"))
 
 
 @query("""
@@ -128,8 +129,7 @@ def evidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT12, AG14: evidence whose file exists and whose lines lie in it, and how much was dropped."""
     e = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), (F.col("l_linenumber") + F.col("l_quantity") % 4 - 1).alias("end_line"), (F.col("l_partkey") % 9).alias("path_no"))
     f = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 6).alias("total"), (F.col("o_orderkey") % 7).alias("path_no"))
-    kept = F.coalesce((F.col("line") >= 1) & (F.col("line") <= F.col("end_line")) & (F.col("end_line") <= F.col("total")), F.lit(False))
-    return e.join(f, ["l_orderkey", "path_no"], "left").groupBy("l_orderkey").agg(F.count_if(kept).alias("n_kept"), F.count_if(~kept).alias("n_dropped"))
+    return lookups.within_files(e, f, ["l_orderkey", "path_no"]).groupBy("l_orderkey").agg(F.count_if("within").alias("n_kept"), F.count_if(~F.col("within")).alias("n_dropped"))
 
 
 @query("""
@@ -141,13 +141,10 @@ def evidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def queues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SO3 to SO5: the heads of the queues in their orders; each a top-k, so that only these rows are numbered."""
-    from pyspark.sql import Window
-
     rank = F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "O", 2).otherwise(1)
     rows = read(spark, sf_dir, "orders").withColumn("rank", rank)
     orders = {"human": [F.desc("rank"), F.desc("o_totalprice"), F.desc("o_custkey"), "o_orderkey"], "view": ["o_orderpriority", "rank", "o_orderkey"], "runs": [F.desc("o_custkey"), "o_orderkey"]}
-    parts = [rows.orderBy(*by).limit(25).select(F.lit(name).alias("queue"), "o_orderkey", F.row_number().over(Window.orderBy(*by)).cast("long").alias("place")) for name, by in orders.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return lookups.heads(rows, "o_orderkey", orders, 25)
 
 
 @query("""
@@ -156,6 +153,5 @@ def queues(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SP52, SNK4: assets are unique by content and keep their first copy; ids carry their run."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.coalesce("source", F.lit("none")).alias("run"))
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("asset"))
-    return join_spread(rows, first, "digest").select("doc_id", "digest", "asset", F.concat(F.lit("run_"), "run", F.lit("_"), F.substring("digest", 1, 12)).alias("scoped_id"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.col("source").alias("run"))
+    return lookups.assets(rows, "doc_id", "digest", "run").select("doc_id", "digest", "asset", "scoped_id")

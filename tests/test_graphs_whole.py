@@ -19,7 +19,7 @@ def following(spark):
 
 
 def levels(after, seeds, most, nodes=None):
-    depth, frontier, ended = dict.fromkeys(seeds, 0), set(seeds), None
+    depth, frontier = dict.fromkeys(seeds, 0), set(seeds)
     for d in range(1, most + 1):
         frontier = {b for a in frontier for b in after.get(a, ())} - depth.keys()
         depth.update(dict.fromkeys(frontier, d))
@@ -27,7 +27,7 @@ def levels(after, seeds, most, nodes=None):
             return depth, None
         if nodes and len(depth) >= nodes:
             return depth, "node_limit"
-    return depth, "depth_limit" if {b for a in frontier for b in after.get(a, ())} - depth.keys() else ended
+    return depth, "depth_limit"
 
 
 def test_whole_reach_tree_and_hops(spark):
