@@ -105,4 +105,4 @@ def call_sites(files: DataFrame, code: str = "code") -> DataFrame:
     sites = calls(pieces(texts)).groupBy("digest").agg(F.collect_list(F.struct("name", "owner", "line", "level", "arguments")).alias("sites"))
     listed = texts.join(sites, "digest")
     cut = F.transform("sites", lambda s: s.withField("arguments", F.transform(s["arguments"], lambda a: F.trim(between("text", a["begin"], a["end"])))))
-    return join_spread(keyed, listed.select("digest", cut.alias("sites")), "digest").select("file", F.explode("sites").alias("s")).select("file", "s.*")
+    return join_spread(keyed, written(listed.select("digest", cut.alias("sites"))), "digest").select("file", F.explode("sites").alias("s")).select("file", "s.*")

@@ -135,7 +135,7 @@ def hits(files: DataFrame, code: str = "code", rules: list[tuple[str, Rule]] = R
     found = _call_hits(texts, cut, rules)
     if rules is RULES:
         found = found.unionByName(_secret_hits(texts, cut))
-    found = found.groupBy("digest").agg(F.collect_list(F.struct("rule_id", "line")).alias("hits"))
+    found = written(found.groupBy("digest").agg(F.collect_list(F.struct("rule_id", "line")).alias("hits")))
     each = join_spread(keyed.select("file", F.sha2("code", 256).alias("digest")), found, "digest").select("file", F.explode("hits").alias("h"))
     return each.select(*[F.col("file").getField(c).alias(c) for c in names], F.col("h.rule_id").alias(rule_name), F.col("h.line").alias(line_name))
 
