@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .identity import KEYS, identified, semantic_keys
-from .tables import join_spread
+from .tables import join_spread, written
 
 __all__ = ["KEYS", "groups", "identified", "propagated"]
 
@@ -35,7 +35,7 @@ def propagated(rows: DataFrame, member: str, result: str, locations: str | None
     now = dict(zip(("scope_now", "chain_now", "fact_now"), semantic_keys(rows, (member, *leave_out)), strict=True))
     keyed = rows.withColumns(now).withColumn("identity_of_row", F.concat_ws(":", *[F.coalesce(k, F.lit("~")) for k in KEYS]))
     sound = (F.col("scope_key") == F.col("scope_now")) & (F.col("chain_key") == F.col("chain_now")) & (F.col("fact_key") == F.col("fact_now"))
-    keyed = keyed.withColumn("sound_row", F.coalesce(sound, F.lit(False))).drop(*now)
+    keyed = written(keyed.withColumn("sound_row", F.coalesce(sound, F.lit(False))).drop(*now))
     best = keyed.groupBy("identity_of_row").agg(F.max(F.struct(*_order(member, locations), F.col(result), F.col("sound_row"))).alias("best_of_row"))
     joined = join_spread(keyed, best, "identity_of_row")
     handed = F.col("sound_row") & F.col("best_of_row.sound_row") & (F.col(f"best_of_row.{member}") != F.col(member))

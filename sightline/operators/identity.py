@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import join_spread
+from .tables import join_spread, written
 
 #: Fields whose lists are sets.
 SETS = frozenset("actions authorization_matrix binder_return_types duplicate_authorities entry_points operation_modes path_regions permission_set permissions requested_permissions rule_ids unresolved_action_expressions".split())
@@ -106,7 +106,7 @@ def exact_key(rows: DataFrame, leave_out: tuple[str, ...] = ()) -> Column:
 def exact_groups(rows: DataFrame, order: str) -> DataFrame:
     """rows with exact_key, first (the least value of order among the rows of one key) and n_same. Groups are counted
     before they meet their rows; see join_spread for large ones."""
-    keyed = rows.withColumn("exact_key", exact_key(rows, (order,)))
+    keyed = written(rows.withColumn("exact_key", exact_key(rows, (order,))))
     return join_spread(keyed, keyed.groupBy("exact_key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n_same")), "exact_key")
 
 

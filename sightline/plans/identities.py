@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import findings, funnel, identity
-from ..operators.tables import read
+from ..operators.tables import read, written
 from .base import query
 
 #: s: component, e: entry, m: matrix, f: kind of flow, b: a Binder surface, p: path, d: ends, g: gaps, c: chain id, r: rule;
@@ -56,7 +56,7 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
        min(o_orderkey) OVER (PARTITION BY {_FACT}) AS same_facts FROM o""")
 def funnel_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN1, FLT10, SC19: for each key of a candidate the first candidate that has the same."""
-    rows = identity.identified(nested(spark, sf_dir), ("candidate",)).select("candidate", *identity.KEYS)
+    rows = written(identity.identified(nested(spark, sf_dir), ("candidate",)).select("candidate", *identity.KEYS))
     for key, name in zip(identity.KEYS, ("same_scope", "same_chain", "same_facts"), strict=True):
         first = rows.groupBy(key).agg(F.min("candidate").alias(name))
         rows = rows.join(first, key)
