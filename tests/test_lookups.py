@@ -26,3 +26,10 @@ def test_calls_that_ask_the_same_are_asked_once(spark):
     entries = spark.range(1, 3000).selectExpr("id AS place", "'m' AS method", "concat('t', id) AS taxonomy", "CAST(NULL AS STRING) AS exact", "concat('p', id % 3) AS prefix", "CAST(NULL AS STRING) AS leaf", "CAST(NULL AS ARRAY<INT>) AS arities")
     asked = spark.createDataFrame([("1", "m", "p2.X", None), ("2", "m", None, 1), ("3", "m", "q", 1)], "request string, method string, receiver string, arity int")
     assert {r["request"]: r["best"]["taxonomy"] for r in lookups.answered(asked, entries).collect()} == {"1": "t2", "2": "t1"}
+
+
+def test_files_of_nested_components(spark):
+    """A nested component has the files of its outer class, by full name, simple name and path."""
+    classes = spark.createDataFrame([("a.Out", "Out", "x/1.java"), ("b.Out", "Out", "x/2.java"), (None, None, "y/OUT.kt"), (None, None, "y/out$in.java"), ("a.Other", "Other", "x/3.java"), (None, None, "Top.java")], "qualified string, name string, path string")
+    asked = spark.createDataFrame([("a.Out$In",), ("Top$In",)], "component string")
+    assert sorted(tuple(r) for r in lookups.files_of_components(asked, classes, strict=False).collect()) == [("Top$In", "Top.java"), *[("a.Out$In", p) for p in ("x/1.java", "x/2.java", "y/OUT.kt", "y/out$in.java")]]
