@@ -3,6 +3,7 @@
 import random
 
 from sightline.operators import lookups
+from sightline.plans import registry
 
 
 def test_entries_answer_like_all_pairs(spark):
@@ -33,3 +34,10 @@ def test_files_of_nested_components(spark):
     classes = spark.createDataFrame([("a.Out", "Out", "x/1.java"), ("b.Out", "Out", "x/2.java"), (None, None, "y/OUT.kt"), (None, None, "y/out$in.java"), ("a.Other", "Other", "x/3.java"), (None, None, "Top.java")], "qualified string, name string, path string")
     asked = spark.createDataFrame([("a.Out$In",), ("Top$In",)], "component string")
     assert sorted(tuple(r) for r in lookups.files_of_components(asked, classes, strict=False).collect()) == [("Top$In", "Top.java"), *[("a.Out$In", p) for p in ("x/1.java", "x/2.java", "y/OUT.kt", "y/out$in.java")]]
+
+
+def test_severity_reads_the_texts_of_documents(spark, tmp_path):
+    texts = ["Of THE of", "other", "a sch", "x", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["severity"] for r in registry.QUERIES["severity_words"](spark, str(tmp_path)).collect()}
+    assert got == {0: "critical", 1: "high", 2: "medium", 3: "low", 4: "low"}
