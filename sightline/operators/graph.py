@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Steps
 
+#: Rows up to which a step of a round is broadcast.
+FEW = 100_000
+
+
+def _sized(table: DataFrame, n: int) -> DataFrame:
+    """table, marked for broadcast if it has few rows and for a join by shuffle otherwise: what goes through the driver in a
+    round is bounded, whatever Spark makes of the sizes of files."""
+    return F.broadcast(table) if n <= FEW else table.hint("merge")
+
+
+def _folded(steps: Steps, parts: list[DataFrame], depth: int) -> None:
+    """Every eight parts become one, and every eight of these, so plans stay short and a row is written few times."""
+    every = 8
+    while depth % every == 0:
+        parts[-8:] = [steps.put(reduce(DataFrame.unionByName, parts[-8:]))]
+        every *= 8
+
 
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """vertex, depth: all vertices that seeds (vertex) reach, with the least number of edges; at most `most` edges.
@@ -17,10 +36,13 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFr
     edges = steps.put(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
     seen = steps.put(seeds.select("vertex").where("vertex is not null").distinct().withColumn("depth", F.lit(0).cast("long")))
     frontier, depth = seen, 0
-    while (most is None or depth < most) and not frontier.isEmpty():
+    total = n = frontier.count()
+    while (most is None or depth < most) and n:
         depth += 1
-        found = frontier.join(edges, F.col("vertex") == F.col("src")).select(F.col("dst").alias("vertex")).distinct()
-        frontier = steps.put(found.join(seen, "vertex", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        found = _sized(frontier, n).join(edges, F.col("vertex") == F.col("src")).select(F.col("dst").alias("vertex")).distinct()
+        frontier = steps.put(found.join(_sized(seen.select("vertex"), total), "vertex", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        n = frontier.count()
+        total += n
         seen = seen.unionByName(frontier)
         if depth % 8 == 0:
             seen = steps.put(seen)
@@ -29,19 +51,36 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFr
 
 def reach_scoped(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """scope, vertex, depth: what the seeds (scope, vertex) of each scope reach, for all scopes in one run of rounds. Rows of
-    seeds and edges with nulls are left out. What was seen is written anew every few rounds, so plans stay short."""
+    seeds and edges with nulls are left out.
+
+    A vertex with one edge into it that is no seed is found once in a scope, from that edge's source: it is free of the
+    check against what was seen. Only vertices with several edges, and seeds, go through it.
+    """
     steps = Steps(edges.sparkSession)
-    edges = steps.put(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
-    seen = steps.put(seeds.select("scope", "vertex").where("scope is not null and vertex is not null").distinct().withColumn("depth", F.lit(0).cast("long")))
-    frontier, depth = seen, 0
-    while (most is None or depth < most) and not frontier.isEmpty():
+    edges = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct()
+    start = steps.put(seeds.select("scope", "vertex").where("scope is not null and vertex is not null").distinct().withColumn("depth", F.lit(0).cast("long")))
+    into = edges.groupBy("dst").agg((F.count(F.lit(1)) > 1).alias("several"))
+    begun = start.select(F.col("vertex").alias("dst")).distinct().withColumn("begun", F.lit(True))
+    kinds = into.join(begun, "dst", "left").select("dst", "several", (~F.col("several") & F.col("begun").isNull()).alias("free"))
+    edges = steps.put(edges.join(kinds, "dst"))
+    frontier, depth, n = start, 0, start.count()
+    total, parts, again = n, [start], [start.select("scope", "vertex")]
+    while (most is None or depth < most) and n:
         depth += 1
-        found = frontier.join(edges, F.col("vertex") == F.col("src")).select("scope", F.col("dst").alias("vertex")).distinct()
-        frontier = steps.put(found.join(seen, ["scope", "vertex"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
-        seen = seen.unionByName(frontier)
-        if depth % 8 == 0:
-            seen = steps.put(seen)
-    return steps.result(seen)
+        found = _sized(frontier, n).join(edges, F.col("vertex") == F.col("src")).select("scope", F.col("dst").alias("vertex"), "several", "free")
+        seen = _sized(reduce(DataFrame.unionByName, again), total)
+        checked = found.where("not free").distinct().join(seen, ["scope", "vertex"], "left_anti")
+        going = steps.put(found.where("free").unionByName(checked).select("scope", "vertex", "several", F.lit(depth).cast("long").alias("depth")))
+        counts = going.groupBy("several").count().collect()
+        n, repeated = sum(r["count"] for r in counts), sum(r["count"] for r in counts if r["several"])
+        frontier = going.drop("several")
+        parts.append(frontier)
+        _folded(steps, parts, depth)
+        if repeated:
+            total += repeated
+            again.append(going.where("several").select("scope", "vertex"))
+            _folded(steps, again, len(again) - 1)
+    return steps.result(reduce(DataFrame.unionByName, parts))
 
 
 def reach_back(edges: DataFrame, targets: DataFrame, most: int) -> DataFrame:
