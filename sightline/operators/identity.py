@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import join_spread, written
+from .tables import join_spread, unused, written
 
 #: Fields whose lists are sets.
 SETS = frozenset("actions authorization_matrix binder_return_types duplicate_authorities entry_points operation_modes path_regions permission_set permissions requested_permissions rule_ids unresolved_action_expressions".split())
@@ -41,6 +41,11 @@ NO_BINDER_FACTS = frozenset(
     "binder_inheritance_chain binder_remote_interface implementation_method_id implementation_class entry_descriptor guard_coverage guard_summary".split()
 )
 KEYS = ("scope_key", "chain_key", "fact_key")
+#: What the keys of scope and chain read beside facts and the ends, steps and bindings of a chain.
+READ = frozenset("component component_kind component_name entry_points entry_method_id flow_kind path_model binder_remote_interface authorization_operation authorization_matrix receiver_flag_tier operation_taxonomy taxonomy".split())
+ENDS = ("path", "line", "method_id", "kind", "taxonomy", "operation_taxonomy")
+#: Different contents up to which their keys are made once and broadcast; with more, every row makes its own.
+CONTENTS = 100_000
 #: Columns of the funnel itself.
 HELPERS = (*KEYS, "needs", "risk")
 
@@ -229,11 +234,71 @@ def _facts(f: _Fields, receiver: Column, binder: Column, owner: Column) -> Colum
     return F.concat_ws("", F.lit("facts"), *parts, no_chain)
 
 
-def identified(rows: DataFrame, leave_out: tuple[str, ...] = ()) -> DataFrame:
+def _exact_in_json(kind: T.DataType) -> bool:
+    """Whether different values of a type have different JSON."""
+    if isinstance(kind, T.StructType):
+        return all(_exact_in_json(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _exact_in_json(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return kind.keyType == T.StringType() and _exact_in_json(kind.valueType)
+    return kind == T.StringType() or isinstance(kind, (T.IntegralType, T.BooleanType, T.DecimalType, T.DoubleType))
+
+
+def content(rows: DataFrame, leave_out: tuple[str, ...] = ()) -> Column:
+    """A digest of all that semantic_keys reads of a row, cheaper than the keys: rows of one content have the same keys."""
+    f = _Fields(rows, HELPERS + leave_out)
+    no_chain = _some(f["chain_id"]).isNull()
+    parts = [no_chain, F.when(no_chain, f["rule_id"].cast("string")), F.when(no_chain, f["rule_version"].cast("string"))]
+    for name, kind in sorted(f.kinds.items()):
+        value, has, listed = f[name], f.within(name), isinstance(kind, T.ArrayType)
+        inside = lambda *fields, v=value, h=has: [v.getField(c) for c in fields if c in h]
+        if name in ("sources", "sinks", "propagation_paths", "receiver_binding") or name in READ or not (name in NO_FACTS or name.startswith("ai_")):
+            if not _exact_in_json(kind):
+                parts.append(f.text(name))
+            elif name in ("sources", "sinks"):
+                parts += [F.size(value), *inside(*ENDS)] if listed else []
+            elif name == "propagation_paths" and listed and has & {"method_id", "path"}:
+                named = lambda x, h=has: F.coalesce(*[_some(x.getField(c)) for c in ("method_id", "path") if c in h]).isNotNull()
+                parts += [*inside("method_id", "path"), F.filter(value, lambda x: ~named(x))]
+            elif name == "receiver_binding":
+                parts += [value.getField("registration").getField("path")] if "registration" in has else []
+                parts += inside("actions")
+            elif name in ("blocking_gaps", "coverage_gaps") and listed and "code" in has:
+                parts += [value.isNotNull(), *inside("code", "critical")]
+            elif name in ("guard_coverage", "guard_summary") and isinstance(kind, T.StructType):
+                parts += [value.isNotNull(), *inside("status")]
+            else:
+                parts.append(value)
+    # never null, and known to be: else joins by it would ask for that and make it twice
+    return F.coalesce(F.unhex(F.sha2(F.to_json(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])), 256)), F.lit(b""))
+
+
+def keys_once(rows: DataFrame, row_id: str, of: DataFrame, same: str, names: tuple[str, str, str], leave_out: tuple[str, ...]) -> DataFrame | None:
+    """One row for each content (column same of the table of, beside row_id): same and the keys under names, made from one
+    row of it. None if there are more than CONTENTS."""
+    firsts = written(of.groupBy(same).agg(F.min(row_id).alias(row_id)))
+    if firsts.limit(CONTENTS + 1).count() > CONTENTS:
+        return None
+    few = rows.where(F.col(row_id).isin(firsts.select(row_id))).withColumn(same, content(rows, leave_out))
+    made = few.join(F.broadcast(firsts), [row_id, same]).select(same, *[c.alias(n) for n, c in zip(names, semantic_keys(rows, leave_out), strict=True)])
+    return written(made.dropDuplicates([same]))
+
+
+def keyed_once(rows: DataFrame, row_id: str, leave_out: tuple[str, ...] = ()) -> DataFrame:
+    """rows with KEYS, made once for each content where there are few. row_id is not null."""
+    rows = rows.drop(*[k for k in KEYS if k in rows.columns])
+    (same,) = unused(rows.columns + list(KEYS), "content")
+    digests = rows.withColumn(same, content(rows, leave_out))
+    keys = keys_once(rows, row_id, digests.select(row_id, same), same, KEYS, leave_out)
+    return rows.withColumns(dict(zip(KEYS, semantic_keys(rows, leave_out), strict=True))) if keys is None else digests.join(F.broadcast(keys), same).drop(same)
+
+
+def identified(rows: DataFrame, leave_out: tuple[str, ...] = (), row_id: str | None = None) -> DataFrame:
     """rows with scope_key, chain_key, fact_key and candidate_id: the own one, else one made of the keys, the chain's id,
-    the rule and the locations in any order. Columns of these names are replaced."""
-    scope, chain, facts = semantic_keys(rows, leave_out)
-    keyed = rows.withColumns(dict(zip(KEYS, (scope, chain, facts), strict=True)))
+    the rule and the locations in any order. Columns of these names are replaced. With row_id, the number of a row, the
+    keys of rows of one content are made once."""
+    keyed = keyed_once(rows, row_id, leave_out) if row_id else rows.withColumns(dict(zip(KEYS, semantic_keys(rows, leave_out), strict=True)))
     f = _Fields(rows)
     places = f.kinds.get("locations")
     sorted_places = _whole(F.array_sort(f.items("locations", lambda x, _: canonical(x, places.elementType))))

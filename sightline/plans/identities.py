@@ -56,7 +56,7 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
        min(o_orderkey) OVER (PARTITION BY {_FACT}) AS same_facts FROM o""")
 def funnel_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN1, FLT10, SC19: for each key of a candidate the first candidate that has the same."""
-    rows = written(identity.identified(nested(spark, sf_dir), ("candidate",)).select("candidate", *identity.KEYS))
+    rows = written(identity.identified(nested(spark, sf_dir), ("candidate",), "candidate").select("candidate", *identity.KEYS))
     for key, name in zip(identity.KEYS, ("same_scope", "same_chain", "same_facts"), strict=True):
         first = rows.groupBy(key).agg(F.min("candidate").alias(name))
         rows = rows.join(first, key)
@@ -74,7 +74,7 @@ _GROUPED = f"""{_BASE}, a AS (SELECT o.*, {_NEEDS} AS needs, (o_custkey % 100)::
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     helpers = ("candidate", "guard_blocked")
     rows = nested(spark, sf_dir).withColumn("guard_blocked", F.col("candidate") % 8 == 4)
-    rows = funnel.identified(rows, helpers)
+    rows = funnel.identified(rows, helpers, "candidate")
     return rows.withColumn("needs", F.col("candidate") % 4 == 0).withColumn("risk", F.col("risk_score").cast("long"))
 
 
@@ -90,7 +90,7 @@ def funnel_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG10: the representative's result is handed to the members if the recorded keys of both still hold. Every 29th
     candidate was changed after its keys were recorded: it hands nothing on and takes nothing."""
     rows = _candidates(spark, sf_dir).withColumn("component", F.when(F.col("candidate") % 29 == 0, "changed").otherwise(F.col("component")))
-    found = funnel.propagated(rows, "candidate", "severity_hint", "locations", ("guard_blocked",))
+    found = funnel.propagated(rows, "candidate", "severity_hint", "locations", ("guard_blocked",), ())
     return found.select("candidate", "representative", F.col("severity_hint").alias("result"), "result_source")
 
 
@@ -124,7 +124,7 @@ _LEVELS = "element_at(array('L1', 'L2', 'L3'), CAST(candidate % 3 AS INT) + 1)"
 """)
 def findings_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG1, AG2: candidates of one component, scope and chain as one finding, with the union of their places."""
-    rows = identity.identified(nested(spark, sf_dir), ("candidate",))
+    rows = identity.identified(nested(spark, sf_dir), ("candidate",), "candidate")
     rows = rows.withColumns({
         "evidence_level": F.expr(_LEVELS), "deterministic_chain_verified": F.col("candidate") % 5 == 0, "dataflow_status": F.lit("verified"), "impact_status": F.lit("proven"), "analysis_status": F.lit("ai_completed"),
         "authorization_status": F.when(F.col("candidate") % 7 == 0, "conditional").when(F.col("candidate") % 7 == 1, "unprotected"), "guard_status": F.when(F.col("candidate") % 11 == 0, "absent").otherwise("present_effective"),

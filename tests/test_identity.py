@@ -110,3 +110,27 @@ def test_results_go_to_sound_members_only(spark):
     assert got == {0: (1, "r1", 1), 1: (1, "r1", None), 2: (1, "r2", None), 3: (1, "r1", 1), 4: (4, "r4", None)}
     groups = sorted((r["representative"], r["n_members"], r["group_needs"]) for r in funnel.groups(rows, "n", "locations").collect())
     assert groups == [(1, 4, True), (4, 1, False)]
+
+
+def test_keys_of_one_content_are_made_once(spark, monkeypatch):
+    """Ids, texts, places and the chain's id do not part contents; nulls, empty lists and a rule without a chain do. Keys,
+    results and sources are those of rows that make their own keys."""
+    step = {"sources": [end(text="u")], "chain_id": "c2", "locations": []}
+    changes = [
+        step, {"sources": None}, {"sources": []}, {"sources": [end(), None]}, {"sources": [None, end()]}, {"propagation_paths": [end(method_id=None, path="")]}, {"propagation_paths": [end(method_id=None, path="", text="u")]},
+        {"blocking_gaps": None}, {"blocking_gaps": []}, {"guard_coverage": None}, {"guard_coverage": (None, 1)}, {"permissions": [None, "r"]}, {"permissions": ["r", None]}, {"chain_id": None}, {"chain_id": "", "rule_id": "S"},
+        {"flow_kind": "receiver_exposure", "receiver_binding": (("a/b/c/d", 2), ["y", "x"])}, {"flow_kind": "receiver_exposure", "receiver_binding": (None, ["x"])}, {"binder_remote_interface": True}, {"tail": {"k": None}},
+    ]
+    rows = table(spark, *changes, *[step] * 9)
+    sort = lambda frame: sorted(map(str, frame.collect()))
+    columns = ["n", *identity.KEYS, "candidate_id"]
+    want = sort(identity.identified(rows, ("n",)).select(*columns))
+    made, once = [], identity.keys_once
+    monkeypatch.setattr(identity, "keys_once", lambda *a: made.append(once(*a)) or made[-1])
+    assert sort(identity.identified(rows, ("n",), "n").select(*columns)) == want
+    assert made[0].count() < len(changes) + 1 < rows.count()
+    recorded = identity.identified(rows, ("n",)).withColumns({"needs": F.col("n") == 3, "risk": F.col("n") % 5, "result": F.col("n") * 2}).withColumn("component", F.when(F.col("n") % 4 == 1, "x").otherwise(F.col("component")))
+    got = sort(funnel.propagated(recorded, "n", "result", "locations", ("result",), ()))
+    monkeypatch.setattr(identity, "CONTENTS", 0)
+    assert sort(identity.identified(rows, ("n",), "n").select(*columns)) == want and made[-1] is None
+    assert sort(funnel.propagated(recorded, "n", "result", "locations", ("result",), ())) == got
