@@ -198,7 +198,8 @@ def least_equal(threshold: float) -> float:
 
 
 def partnered(group: dict[str, list], threshold: float) -> dict[str, list] | None:
-    """The members of a group that may have a partner in it, by sizes and sketches."""
+    """The members of a group that may have partners in it, by sizes and sketches, parted into those that such partners
+    connect. A part is named by a digest of its members, so that it is one wherever trees and nodes find it."""
     n = len(group["doc_id"])
     if n < 2:
         return None
@@ -208,14 +209,22 @@ def partnered(group: dict[str, list], threshold: float) -> dict[str, list] | Non
     sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(n, FUNCTIONS)[order]
     least = least_equal(threshold)
     reach = np.searchsorted(size, size / threshold + 1e-9, side="right")
-    hit = np.zeros(n, bool)
+    label, hit = np.arange(n), np.zeros(n, bool)
     for i in range(n - 1):
-        near = (sketch[i + 1 : reach[i]] == sketch[i]).sum(1, dtype=np.int32) >= least
-        if near.any():
-            hit[i] = True
-            hit[i + 1 : reach[i]] |= near
-    found = order[hit].tolist()
-    return {"grp": [group["grp"][0]] * len(found), "doc_id": [group["doc_id"][i] for i in found]} if found else None
+        near = np.flatnonzero((sketch[i + 1 : reach[i]] == sketch[i]).sum(1, dtype=np.int32) >= least) + i + 1
+        if len(near):
+            hit[i] = hit[near] = True
+            joined = np.unique(np.append(label[near], label[i]))
+            if len(joined) > 1:
+                label[np.isin(label, joined)] = joined[0]
+    out: dict[str, list] = {"grp": [], "doc_id": []}
+    ids = np.array(group["doc_id"], np.int64)[order]
+    for part in np.unique(label[hit]):
+        members = np.sort(ids[label == part])
+        name = int(np.frombuffer(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), np.int64)[0])
+        out["grp"] += [name] * len(members)
+        out["doc_id"] += members.tolist()
+    return out if out["doc_id"] else None
 
 
 def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -267,14 +276,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 75, recall: floa
     firsts = join_counted(every, classes, same).where("doc_id = first").dropDuplicates(["doc_id", *same])
     firsts = write_table(firsts.select("doc_id", "n_shingles", "coords", "sketch"), "classes")
 
-    groups, kept = _leaves(firsts, trees)
-    rows, pivots = _through_pivots(groups, firsts, texts, words, percent)
-    able = _by_group(rows.join(firsts.select("doc_id", "n_shingles", "sketch"), "doc_id").select("grp", "doc_id", "n_shingles", "sketch"), lambda g: partnered(g, threshold), "grp long, doc_id long")
-    able = write_table(able, "partnered")
+    groups, kept, deep = _leaves(firsts, trees)
+    rows, pivots = _through_pivots(groups, deep, texts, words, percent)
+    able = _by_group(firsts.select("doc_id", "n_shingles", "sketch").join(_few(rows), "doc_id").select("grp", "doc_id", "n_shingles", "sketch"), lambda g: partnered(g, threshold), "grp long, doc_id long")
+    able = write_table(able.distinct(), "partnered")
 
-    wanted = able.select("doc_id").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    bodies = able.join(texts.join(wanted, "doc_id", "left_semi"), "doc_id").select("grp", "doc_id", "text")
+    wanted = _few(able)  # few rows go to the texts, else only the texts that are asked for are dealt out
+    sent = texts if wanted is not able else texts.join(_few(able.select("doc_id").distinct()), "doc_id", "left_semi")
+    bodies = sent.join(wanted, "doc_id").select("grp", "doc_id", "text")
 
     def confirm(group: dict[str, list]) -> dict[str, list] | None:
         if len(group["doc_id"]) < 2:
@@ -289,6 +298,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 75, recall: floa
     return _results(every, classes, found, same)
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """The table itself, or marked for broadcast if it has at most BROADCAST_IDS rows."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def _results(every: DataFrame, classes: DataFrame, found: DataFrame, same: list[str]) -> DataFrame:
     named = classes.withColumnRenamed("first", "vertex").join(found, "vertex", "left").select(*same, F.coalesce("component", "vertex").alias("component_id"), "n")
     out = join_counted(every.select("doc_id", *same), named, same, "left")
@@ -296,9 +310,11 @@ def _results(every: DataFrame, classes: DataFrame, found: DataFrame, same: list[
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _leaves(firsts: DataFrame, trees: int) -> tuple[DataFrame, list[DataFrame]]:
-    """The nodes to compare (grp, doc_id, n, first), and the tables to delete in the end: nodes of up to NODE_LIMIT
-    documents, and larger ones that are dense or as deep as can be."""
+def _leaves(firsts: DataFrame, trees: int) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """The nodes to compare (grp, doc_id, n, first), the tables to delete in the end, and the rows of firsts that are in
+    large nodes of the first level: nodes of up to NODE_LIMIT documents, and larger ones that are dense or as deep as can
+    be. Levels below read these rows alone."""
+    deep = firsts
     entries = firsts.select("doc_id", _roots(trees))
     leaves, tables = [], []
     for depth in range(1, MAX_DEPTH + 1):
@@ -310,12 +326,15 @@ def _leaves(firsts: DataFrame, trees: int) -> tuple[DataFrame, list[DataFrame]]:
             leaves.append(entries)
             break
         leaves.append(entries.where(F.col("n") <= NODE_LIMIT))
-        alike = write_table(_likeness(large, firsts), "likeness")
+        if depth == 1:
+            deep = write_table(firsts.join(_few(large.select("doc_id").distinct()), "doc_id", "left_semi"), "deep")
+            tables.append(deep)
+        alike = write_table(_likeness(large, deep), "likeness")
         tables.append(alike)
         leaves.append(large.join(alike.where(F.col("likeness") >= DENSE), "node", "left_semi"))
         branching = large.join(alike.where(F.col("likeness") < DENSE), "node", "left_semi").select("tree", "node", "doc_id")
-        entries = branching.join(firsts.select("doc_id", "coords"), "doc_id").select("doc_id", "tree", _children().alias("node"))
-    return reduce(DataFrame.unionByName, [leaf.select(F.col("node").alias("grp"), "doc_id", "n", "first") for leaf in leaves]), tables
+        entries = deep.select("doc_id", "coords").join(_few(branching), "doc_id").select("doc_id", "tree", _children().alias("node"))
+    return reduce(DataFrame.unionByName, [leaf.select(F.col("node").alias("grp"), "doc_id", "n", "first") for leaf in leaves]), tables, deep
 
 
 def _with_first(large: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -325,7 +344,7 @@ def _with_first(large: DataFrame, firsts: DataFrame) -> DataFrame:
     ids = large.select(key, F.col("first").alias("doc_id")).distinct()
     of = write_table(ids.join(firsts.select("doc_id", "n_shingles", "sketch"), "doc_id").select(key, F.col("n_shingles").alias("first_n"), F.col("sketch").alias("of")), "node-firsts")
     of = F.broadcast(of) if of.count() <= BROADCAST_IDS // 16 else of
-    return large.select(key, "doc_id", "first").join(firsts.select("doc_id", "n_shingles", "sketch"), "doc_id").join(of, key)
+    return firsts.select("doc_id", "n_shingles", "sketch").join(_few(large.select(key, "doc_id", "first")), "doc_id").join(of, key)
 
 
 def _likeness(large: DataFrame, firsts: DataFrame) -> DataFrame:

@@ -94,3 +94,18 @@ def test_components_of_a_long_path_and_of_nothing(spark):
     got = {r["vertex"]: r["component"] for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
     assert components(links.limit(0)).count() == 0
+
+
+def test_partners_are_one_group_wherever_they_meet():
+    """Nodes of other company and order find the same pairs: each is one group, and no larger than its partners."""
+    draw = np.random.default_rng(5)
+    base = draw.integers(0, 256, (4, near_dedup.FUNCTIONS), dtype=np.uint8)
+    near = base.copy()
+    near[:, :10] = 7
+    row = {i: base[i].tobytes() for i in range(4)} | {10 + i: near[i].tobytes() for i in range(3)} | {20: near[0].tobytes()}
+    group = lambda grp, ids: {"grp": [grp] * len(ids), "doc_id": ids, "n_shingles": [100 + i % 3 for i in ids], "sketch": [row[i] for i in ids]}
+    found = [near_dedup.partnered(group(g, ids), 0.75) for g, ids in enumerate(([0, 10, 1, 11, 3, 20], [3, 11, 20, 2, 1, 10, 0], [1, 11]))]
+    parts = [{frozenset(d for d, h in zip(f["doc_id"], f["grp"], strict=True) if h == g) for g in f["grp"]} for f in found]
+    assert parts == [{frozenset({0, 10, 20}), frozenset({1, 11})}] * 2 + [{frozenset({1, 11})}]
+    assert set(found[0]["grp"]) == set(found[1]["grp"]) > set(found[2]["grp"])
+    assert near_dedup.partnered(group(9, [0, 1, 2, 3]), 0.75) is None
