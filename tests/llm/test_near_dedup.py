@@ -2,6 +2,8 @@ import collections
 import random
 import re
 
+import numpy as np
+
 from sightline.llm import near_dedup
 from sightline.llm.components import components
 
