@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable
+from functools import cached_property
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -22,6 +23,8 @@ from .shared import in_worker, map_columns, text_of
 CACHE_ENTRIES = 300_000
 #: Pieces kept beside the stretches, most of which are one piece.
 PIECE_ENTRIES = 100_000
+#: Bytes of a piece of which only some prefixes are gone into, and such prefixes remembered.
+PREFIX_BYTES, PREFIX_ENTRIES = 64, 100_000
 
 
 class PrefixEncoder:
@@ -33,12 +36,18 @@ class PrefixEncoder:
         self.longest = max(map(len, ranks))
         self._follows: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self.starts: dict = {}  # a tree of the tokens' bytes; a token that ends at a node is its entry -1
-        for data, token in ranks.items():
-            node = self.starts
+        self._prefixes: dict[bytes, tuple[int, ...]] = {}
+
+    @cached_property
+    def starts(self) -> dict:
+        """A tree of the tokens' bytes; a token that ends at a node is its entry -1."""
+        tree: dict = {}
+        for data, token in self.ranks.items():
+            node = tree
             for byte in data:
                 node = node.setdefault(byte, {})
             node[-1] = token
+        return tree
 
     def merged(self, data: bytes) -> list[int]:
         """Lowest-rank-first merging; only used on the bytes of two tokens."""
@@ -117,7 +126,30 @@ class PrefixEncoder:
 
     def encode(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
-        return [whole] if whole is not None else self.walk(self.extend(data, []))
+        if whole is not None:
+            return [whole]
+        return self.walk(self.extend(data, [])) if len(data) > PREFIX_BYTES or not data else [*self._ids(data)]
+
+    def _ids(self, data: bytes) -> tuple[int, ...]:
+        """The ids of a short prefix: those of the prefix before its last token, and that token, longest tokens first.
+        Only the prefixes that are asked for are gone into; those that pieces have in common are remembered."""
+        get, follows, known = self.ranks.get, self._follows, self._prefixes
+        for start in range(max(0, len(data) - self.longest), len(data)):
+            token = get(data[start:])
+            if token is not None:
+                if not start:
+                    return (token,)
+                prefix = data[:start]
+                before = known.get(prefix)
+                if before is None:
+                    before = self._ids(prefix)
+                    if len(known) >= PREFIX_ENTRIES:
+                        known.clear()
+                    known[prefix] = before
+                apart = follows.get(before[-1] << 32 | token)
+                if self.may_follow(before[-1], token) if apart is None else apart:
+                    return (*before, token)
+        raise ValueError("the vocabulary lacks a single byte")
 
     def append(self, data: bytes, lasts: list[int], more: bytes) -> tuple[bytes, list[int]]:
         """Data and last tokens after appending bytes: no stored entry changes."""
@@ -190,20 +222,15 @@ class TextEncoder:
             return list(self.plain(text))
         if len(self.stretches) >= self.entries:
             self.older_stretches, self.stretches = self.stretches, {}
-        known = self.stretches
-        try:
-            parts = list(map(known.__getitem__, rest))
-        except KeyError:
-            older = self.older_stretches
-            for part in rest:
-                if part not in known:
-                    ids = older.get(part)
-                    if ids is None:
-                        if not part or part[0].isspace() or part[-1].isspace():
-                            return list(self.plain(text))
-                        ids = self.plain(" " + part)
-                    known[part] = ids
-            parts = list(map(known.__getitem__, rest))
+        known, older = self.stretches, self.older_stretches
+        for part in set(rest).difference(known):
+            ids = older.get(part)
+            if ids is None:
+                if not part or part[0].isspace() or part[-1].isspace():
+                    return list(self.plain(text))
+                ids = self.plain(" " + part)
+            known[part] = ids
+        parts = map(known.__getitem__, rest)
         return [*self.plain(first), *chain.from_iterable(parts)]
 
 

@@ -79,3 +79,14 @@ def test_a_worker_holds_one_encoder_at_a_time():
     assert len(shared._held) == 1 and shared.in_worker(build, "a") is not first
     shared.let_go()
     assert not shared._held
+
+
+def test_remembered_prefixes_are_few_and_change_nothing(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "PREFIX_ENTRIES", 50)
+    encoder = byte_bpe.PrefixEncoder(byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    draw, parts = random.Random(3), ["thst", "ing", "é", "ou", "w", "\x00", "漢", "aaaa", " ", "9"]
+    pieces = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 14))).encode() for _ in range(400)]
+    short = [p for p in pieces if len(p) <= byte_bpe.PREFIX_BYTES]
+    got = [encoder.encode(p) for p in short]
+    assert "starts" not in vars(encoder) and 0 < len(encoder._prefixes) <= 50  # no tree, no table of every prefix
+    assert got == [encoder.merged(p) for p in short] == [encoder.walk(encoder.extend(p, [])) for p in short]
