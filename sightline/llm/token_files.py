@@ -17,7 +17,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -148,26 +148,26 @@ class TextEncoder:
         self.words: list[dict[str, bytes]] = [{}, {}]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(got.ids, self.type).tobytes() for got in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        # The library's fast form gives the same ids, without working out where each lies in its text.
+        return [np.array(got.ids, self.type).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def _make_room(cache: list[dict[str, bytes]]) -> None:
         if len(cache[0]) >= CACHE_ENTRIES:
             cache[:] = [{"": b""}, cache[0]]
 
-    def _learn_words(self, found: list[list[str]]) -> dict[str, bytes]:
+    def _learn_words(self, found: Iterable[str]) -> dict[str, bytes]:
         self._make_room(self.words)
         known, older = self.words
-        missing = set(chain.from_iterable(found)).difference(known)
+        missing = set(found).difference(known)
         new = list(missing.difference(older)) if older else list(missing)
         known.update((w, older[w]) for w in missing.difference(new))
         if new:
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, self.type)
-            stop = np.flatnonzero(self.ends[ids]) + 1
+            raw = self._whole([" ".join(new)])[0]
+            stop = (np.flatnonzero(self.ends[np.frombuffer(raw, self.type)]) + 1) * self.type.itemsize
             if len(stop) == len(new):
-                raw, at = ids.tobytes(), 0
-                for word, to in zip(new, (stop * ids.itemsize).tolist(), strict=True):
-                    known[word], at = raw[at:to], to
+                stop = stop.tolist()
+                known.update(zip(new, [raw[a:b] for a, b in zip([0, *stop], stop)], strict=True))
             else:
                 known.update(zip(new, self._whole(new), strict=True))
         return known
@@ -179,11 +179,17 @@ class TextEncoder:
         missing = [s for s, g in zip(stretches, got, strict=True) if g is None]
         if not missing:
             return got
-        known.update((s, older[s]) for s in missing if s in older)
-        new = [s for s in missing if s not in known]
-        found = list(map(LATIN_WORDS.findall, new))
-        word = self._learn_words(found).__getitem__
-        known.update(zip(new, [word(f[0]) if len(f) == 1 else b"".join(map(word, f)) for f in found], strict=True))
+        new = missing
+        if older:
+            held = list(map(older.get, missing))
+            known.update((s, h) for s, h in zip(missing, held, strict=True) if h is not None)
+            new = [s for s, h in zip(missing, held, strict=True) if h is None]
+        alone = list(filter(str.isalpha, new))  # letters alone are one word
+        mixed = [s for s in new if not s.isalpha()]
+        found = list(map(LATIN_WORDS.findall, mixed))
+        word = self._learn_words(chain(alone, chain.from_iterable(found))).__getitem__
+        known.update(zip(alone, map(word, alone), strict=True))
+        known.update(zip(mixed, [b"".join(map(word, f)) for f in found], strict=True))
         return list(map(known.__getitem__, stretches))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -70,3 +70,22 @@ def test_files_hold_what_readers_need(spark, library):
     found = [token_files.read_file(folder, p["name"], by_rank) for p in parts]
     assert [d for doc_ids, _, _ in found for d in doc_ids] == [1, 2]
     assert sum(len(ids) for _, _, ids in found) == total == 2 + 3
+
+
+def test_words_are_encoded_without_their_places(library, monkeypatch):
+    encoder = token_files.TextEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    asked = []
+
+    class Fast:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.append(texts)
+            return library.encode_batch(texts, add_special_tokens=add_special_tokens)
+
+    encoder.tokenizer = Fast()
+    texts = ["ªµº Straße's naïve, x2 it's a²b don't", "a_b ÀÉ\nthe THE the", "漢字 the", ""]
+    for _ in range(2):
+        ids, n = encoder.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked[0] == ["漢字 the"] or len(asked[0]) == 1 and asked.count(["漢字 the"]) == 2 and len(asked) == 3  # plain words once
+    latin = {chr(c) for c in range(256) if chr(c).isalpha()}
+    assert all(token_files.LATIN_WORDS.findall(c + "a") == [c + "a"] for c in latin)
